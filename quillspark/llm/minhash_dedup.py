@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut, free_shuffles, small_batches
+from .scratch import cut, free_shuffles, python_ready
 from .wordkernel import Words, as_long, ragged, shingle_set
 
 SHINGLE, SKETCH, RUN = 5, 48, 3
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ``docs`` other than doc_id and text are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(docs.mapInArrow(_sketches, "doc_id bigint, n_shingles bigint, key binary, sketch array<bigint>"), "near-sketches")
     classes = cut(sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "near-classes")

@@ -8,9 +8,11 @@ a half-forgotten plan, and a later stage scans only the columns it needs.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
@@ -47,6 +49,7 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound an Arrow batch: whole texts may be long, so rows per batch are few."""
+def python_ready(spark: SparkSession, rows: int = 256) -> None:
+    """Send this package's functions to Python workers by value, so that executors need no copy of it, and bound an Arrow batch: whole texts may be long, so its rows are few."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
