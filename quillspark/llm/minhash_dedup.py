@@ -15,9 +15,13 @@
    of n members makes n - 1 pairs and never n squared.
 4. The union sketch (the smallest values of both) estimates the similarity;
    pairs far below the threshold go.  The rest are verified on full sets.
-5. Lists whose members are still in several components are gone through
-   exactly: blocks of at most ``BLOCK`` members meet block by block, only
-   across components, and pass the same filter and the same verification.
+5. Two members of a list may be linked though its centre is linked with only
+   one of them.  So the family of a centre (all members of its lists) that is
+   still in several components is gone through exactly, block against block,
+   between sizes that allow a link: first on sketches, which leaves the members
+   that have any partner across components, then on the full sets of
+   those.  A block pair returns members, or one link from a member to another
+   component, and never its pairs.
 """
 
 from __future__ import annotations
@@ -37,7 +41,8 @@ from .wordkernel import Words, as_long, ragged, shingle_set
 SHINGLE, SKETCH, RUN = 5, 48, 3
 #: Added to the threshold for the estimate: over six standard deviations of 48 values at 0.85.
 MARGIN = 0.30
-BLOCK = 256
+#: Members of a block at most, and values of a block about.
+BLOCK, BLOCK_VALUES = 512, 200_000
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
@@ -77,63 +82,124 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(share >= low).select("a", "b", "na", "nb")
 
 
+def _sets_of(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(key, values): the full sets of some classes, from the texts."""
+    reps = wanted.join(ids, "key").select("rep").distinct()
+    texts = docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi").select("text")
+    return texts.mapInArrow(_full_sets, "key binary, values array<bigint>").dropDuplicates(["key"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """Pairs that hold on full sets; ``ids`` gives a document for each class."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = wanted.join(ids, "key").select("rep").distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").select("text")
-    sets = cut(texts.mapInArrow(_full_sets, "key binary, values array<bigint>").dropDuplicates(["key"]), "near-sets")
+    sets = cut(_sets_of(wanted, docs, ids), "near-sets")
     side = lambda c: sets.select(F.col("key").alias(c), F.col("values").alias(f"v{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("va", "vb")))
     return both.where(f"100 * shared >= {percent} * (na + nb - shared)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _cross(percent: int):
-    """Pairs across components within a block or between two blocks, by sketch overlap."""
+def _incidence(left: list, right: list):
+    """Shared values of every member of ``left`` with every one of ``right``, and whether their components differ."""
+    sides = [[np.asarray(m["values"], dtype=np.int64) for m in side] for side in (left, right)]
+    flat = np.concatenate(sides[0] + sides[1])
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # a value of one member is shared with none
+    keep = (count > 1)[inverse]
+    tables = []
+    at = 0
+    for side in sides:
+        sizes = [len(v) for v in side]
+        rows = np.repeat(np.arange(len(side)), sizes)
+        use = keep[at : at + len(rows)]
+        table = np.zeros((len(side), int(column[-1]) + 1 if len(column) else 0), dtype=np.float32)
+        table[rows[use], column[inverse[at : at + len(rows)]][use]] = 1
+        tables.append(table)
+        at += len(rows)
+    names = {r: i for i, r in enumerate({m["root"] for m in (*left, *right)})}
+    of = [np.array([names[m["root"]] for m in side]) for side in (left, right)]
+    return (tables[0] @ tables[1].T).astype(np.int64), of[0][:, None] != of[1][None, :], of[1]
+
+
+def _sizes(side: list) -> np.ndarray:
+    return np.array([m["n"] for m in side], dtype=np.int64)
+
+
+def _flagged(percent: int):
+    """Members with any partner across components that their sketches allow: rows, not pairs."""
     low = percent / 100 - MARGIN
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pydict()
+            centres, keys = [], []
+            for centre, left, right in zip(rows["centre"], rows["members"], rows["others"], strict=True):
+                shared, far, _ = _incidence(left, right)
+                a, b = _sizes(left)[:, None], _sizes(right)[None, :]
+                small = np.minimum(a, b)
+                good = far & (100 * small >= percent * np.maximum(a, b)) & (shared >= low * np.minimum(small, SKETCH))
+                found = [left[i]["key"] for i in np.flatnonzero(good.any(axis=1))] + [right[j]["key"] for j in np.flatnonzero(good.any(axis=0))]
+                keys += found
+                centres += [centre] * len(found)
+            yield pa.record_batch([pa.array(centres, pa.binary()), pa.array(keys, pa.binary())], names=["centre", "key"])
+
+    return run
+
+
+def _crossing(percent: int):
+    """Links across components, exact on full sets: of each member one to each other component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            a, b = [], []
+            u, v = [], []
             for left, right in zip(rows["members"], rows["others"], strict=True):
-                values = {v: j for j, v in enumerate({v for m in (*left, *right) for v in m["sketch"]})}
-
-                def table(side):
-                    out = np.zeros((len(side), len(values)), dtype=np.float32)
-                    for i, m in enumerate(side):
-                        out[i, [values[v] for v in m["sketch"]]] = 1
-                    return out
-
-                shared = table(left) @ table(right).T
-                size_l, size_r = (np.array([m["n"] for m in s], dtype=np.int64) for s in (left, right))
-                far = np.array([m["root"] for m in left], dtype=object)[:, None] != np.array([m["root"] for m in right], dtype=object)[None, :]
-                small = np.minimum(size_l[:, None], size_r[None, :])
-                good = far & (100 * small >= percent * np.maximum(size_l[:, None], size_r[None, :])) & (shared >= low * np.minimum(small, SKETCH))
-                for i, j in np.argwhere(good):
-                    p, q = left[i]["key"], right[j]["key"]
-                    a.append(min(p, q))
-                    b.append(max(p, q))
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return block
-
-
-def _rest(lists: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs across components that share a list, whatever the list's length."""
-    known = lists.join(roots, lists["key"] == roots["node"], "left").select("run", "key", F.coalesce("root", "key").alias("root"))
-    mixed = known.groupBy("run").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(7), "key")).alias("xor"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    # lists of the same members are one
-    mixed = mixed.groupBy("n", "sum", "xor").agg(F.min("run").alias("run")).withColumn("blocks", F.expr(f"int(ceil(n / {BLOCK}))"))
-    members = known.join(mixed, "run").join(classes.select("key", "sketch", F.col("n_shingles").alias("size")), "key")
-    members = members.withColumn("own", F.expr("int(pmod(xxhash64(11, key), blocks))"))
-    member = F.struct("key", "root", F.col("size").alias("n"), "sketch")
-    # a member meets its own block and, from the lower or the upper side, every other block
-    placed = members.select("run", "own", member.alias("m"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "m", F.expr("own <= other").alias("left"), F.expr("own >= other").alias("right"))
-    met = placed.groupBy("run", "i", "j").agg(F.collect_list(F.when(F.col("left"), F.col("m"))).alias("members"), F.collect_list(F.when(F.col("right"), F.col("m"))).alias("others"))
-    met = met.where("exists(others, o -> exists(members, m -> m.root != o.root))")
-    return met.select("members", "others").mapInArrow(_cross(percent), "a binary, b binary").where("a != b").distinct()
+                shared, far, root = _incidence(left, right)
+                union = _sizes(left)[:, None] + _sizes(right)[None, :] - shared
+                good = far & (100 * shared >= percent * union)
+                for i in np.flatnonzero(good.any(axis=1)):
+                    at = np.flatnonzero(good[i])
+                    for j in at[np.unique(root[at], return_index=True)[1]]:
+                        u.append(left[i]["key"])
+                        v.append(right[j]["key"])
+            yield pa.record_batch([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    return run
+
+
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """centre, members, others: every two members of a family whose sizes allow a link meet in one row.
+
+    ``members`` has centre, key, root, n, values.  Sizes are cut into bands whose ratio is the
+    threshold, so partners are in one band or in neighbouring ones; a band is
+    cut into blocks of bounded length by a hash of the key, and blocks meet in twos.
+    """
+    band = F.floor(F.log("n") / -F.log(F.lit(percent / 100))).cast("int")
+    members = members.withColumn("band", band)
+    counts = members.groupBy("centre", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("values")) / BLOCK_VALUES)).cast("int").alias("blocks"))
+    family = counts.groupBy("centre").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("of"))
+    m = members.join(family, "centre").withColumn("own", F.expr("int(pmod(xxhash64(11, key), of[band]))"))
+    spot = "named_struct('k', {}, 'i', {}, 'l', {}, 'j', {}, 'left', {}, 'right', {})"
+    same = f"transform(sequence(0, of[band] - 1), o -> {spot.format('band', 'least(own, o)', 'band', 'greatest(own, o)', 'own <= o', 'own >= o')})"
+    up = f"if(of[band + 1] IS NULL, array(), transform(sequence(0, of[band + 1] - 1), o -> {spot.format('band', 'own', 'band + 1', 'o', 'true', 'false')}))"
+    down = f"if(of[band - 1] IS NULL, array(), transform(sequence(0, of[band - 1] - 1), o -> {spot.format('band - 1', 'o', 'band', 'own', 'false', 'true')}))"
+    placed = m.select("centre", F.struct("key", "root", "n", "values").alias("m"), F.explode(F.expr(f"concat({same}, {up}, {down})")).alias("s"))
+    met = placed.groupBy("centre", "s.k", "s.i", "s.l", "s.j").agg(F.collect_list(F.when(F.col("s.left"), F.col("m"))).alias("members"), F.collect_list(F.when(F.col("s.right"), F.col("m"))).alias("others"))
+    return met.where("exists(others, o -> exists(members, m -> m.root != o.root))").select("centre", "members", "others")
+
+
+def _rest(families: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """Links across components within families (centre, key), whatever a family's size.
+
+    Two members of one list are members of its centre's family; what is linked
+    with the centre itself is known already.
+    """
+    known = families.where("key != centre").join(roots, families["key"] == roots["node"], "left").select("centre", "key", F.coalesce("root", "key").alias("root"))
+    mixed = known.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("centre")
+    members = known.join(mixed, "centre").join(classes.select("key", F.col("n_shingles").alias("n"), F.col("sketch").alias("values")), "key")
+    flagged = cut(_blocks(members, percent).mapInArrow(_flagged(percent), "centre binary, key binary").distinct(), "near-flagged")
+    sets = cut(_sets_of(flagged.select("key").distinct(), docs, ids), "near-sets")
+    members = known.join(flagged, ["centre", "key"]).join(sets.select("key", F.size("values").alias("n"), "values"), "key")
+    return _blocks(members, percent).select("members", "others").mapInArrow(_crossing(percent), "u binary, v binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -158,16 +224,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     lists = cut(runs.join(sizes, "run"), "near-lists")
     fame = lists.groupBy("key").agg(F.sum("n").alias("fame"))
     centre = lists.join(fame, "key").groupBy("run").agg(F.max(F.struct("fame", "key")).alias("c")).select("run", F.col("c.key").alias("b"))
-    stars = lists.select("run", F.col("key").alias("a")).join(centre, "run").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    families = cut(lists.select("run", "key").join(centre.withColumnRenamed("b", "centre"), "run").select("centre", "key").distinct(), "near-families")
+    stars = families.where("key != centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     tried = cut(_estimated(stars, classes, percent), "near-stars")
     links = cut(_verified(tried, docs, ids, percent), "near-links")
     free_shuffles(spark)
     roots = components(links, "near-components")
-    rest = cut(_estimated(_rest(lists.select("run", "key"), roots, classes, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), classes, percent), "near-rest")
-    if not rest.isEmpty():
-        more = cut(_verified(rest, docs, ids, percent), "near-more")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more), "near-components")
+    more = cut(_rest(families, roots, classes, docs, ids, percent), "near-more")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), "near-components")
     free_shuffles(spark)
     named = roots.join(ids, roots["node"] == ids["key"]).groupBy("root").agg(F.min("rep").alias("component"))
     of_class = roots.join(named, "root").select(F.col("node").alias("key"), "component")

@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # this plan's shuffle files go as soon as the table is written
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,7 +55,8 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def python_ready(spark: SparkSession, rows: int = 256) -> None:
-    """Send this package's functions to Python workers by value, so that executors need no copy of it, and bound an Arrow batch: whole texts may be long, so its rows are few."""
+def python_ready(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
+    """Send this package's functions to Python workers by value, so that executors need no copy of it, and bound an Arrow batch: whole texts may be long, so its bytes are few."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
