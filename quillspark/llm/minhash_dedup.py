@@ -242,5 +242,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
 
+def one_of_each_group(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``docs``, all columns, with the least doc_id of each group; rows that repeat its id and text go too."""
+    stay = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    left = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    more = docs.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    if more.isEmpty():
+        return left
+    again = left["doc_id"].eqNullSafe(more["_id"])
+    return left.join(more, again, "left_anti").unionByName(left.join(more, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op9_benchmark_decontamination
+from .line_crf import op5_quality_classifier
 from .minhash_dedup import op10_minhash_near_dedup
 from .packing import op8_best_fit_packing
 from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
