@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .chat import op7_chat_formatting
 from .decontaminate import op9_benchmark_decontamination
 from .line_crf import op5_quality_classifier
 from .minhash_dedup import op10_minhash_near_dedup
 from .packing import op8_best_fit_packing
+from .sharding import op6_sharding
 from .substring_dedup import op4_substring_dedup
+from .unigram import op1_token_counts
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_sharding": op6_sharding,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
