@@ -2,18 +2,24 @@
 
 The tokenizer normalises, drops white space and never lets a token cross it,
 so a text's ids are those of its white-space separated parts in order.  Parts
-are ASCII lower-cased first (the tokenizer would do it anyway), and a single
-``.`` or ``,`` behind an ASCII letter is a token of its own, so few parts are
-new; those go through the tokenizer in one batch.
+are ASCII lower-cased first (the tokenizer would do it anyway).  A run of
+ASCII marks (no apostrophe) behind a letter or digit is a word of its own for the tokenizer,
+so a part's stem and its marks are looked up apart; what is new goes through
+the tokenizer in one batch.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
-MEMO = 400_000
+MEMO = 1_000_000
+
+#: A stem that ends in an ASCII letter or digit or in a Latin letter of two bytes (U+00DF-U+00F6, U+00F8-U+00FF), and marks.
+_MARKED = re.compile(rb"(.*(?:[0-9a-z]|\xc3[\x9f-\xb6\xb8-\xbf]))[!-&(-/:-@\[-`{-~]+\Z", re.DOTALL)
 
 
 class WordTokenizer:
@@ -23,12 +29,16 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._memo: dict[bytes, tuple[int, ...]] = {}
+        self._memo: dict[bytes, bytes] = {}
         self._most = memo
-        self._marks = {m: self._plain([m.decode()])[0] for m in (b".", b",")}
 
-    def _plain(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, parts: list[bytes]) -> None:
+        memo = self._memo
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            found = self._tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
+            for part, ids in zip(some, found, strict=True):
+                memo[part] = array("I", ids.ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as uint32; none for a null."""
@@ -36,19 +46,11 @@ class WordTokenizer:
         if len(memo) > self._most:
             memo.clear()
         split = [t.encode().lower().split() if t else [] for t in texts]
-        new = {w for words in split for w in words if w not in memo}
+        new = set().union(*split).difference(memo)
         if new:
-            stems = {w: (w[:-1], w[-1:]) for w in new if w[-1:] in self._marks and w[-2:-1].isalpha()}
-            plain = [w for w in {s for s, _ in stems.values()} | (new - stems.keys()) if w not in memo]
-            for at in range(0, len(plain), 4096):
-                part = plain[at : at + 4096]
-                memo.update(zip(part, self._plain([w.decode() for w in part]), strict=True))
-            for w, (stem, mark) in stems.items():
-                memo[w] = memo[stem] + self._marks[mark]
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += memo[w]
-            out.append(np.array(ids, dtype=np.uint32))
-        return out
+            ends = {w: m.end(1) for w in new if (m := _MARKED.match(w))}
+            stems = {w[:k] for w, k in ends.items()} | {w[k:] for w, k in ends.items()}
+            self._learn([p for p in stems | (new - ends.keys()) if p not in memo])
+            for w, k in ends.items():
+                memo[w] = memo[w[:k]] + memo[w[k:]]
+        return [np.frombuffer(b"".join(map(memo.__getitem__, words)), dtype=np.uint32) for words in split]
