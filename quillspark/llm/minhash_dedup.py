@@ -78,7 +78,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     low = percent / 100 - MARGIN
     # the k smallest of the union, and how many of them are in both
-    share = F.expr(f"aggregate(array(slice(array_sort(array_union(sa, sb)), 1, {SKETCH})), 0D, (x, u) -> size(array_intersect(u, array_intersect(sa, sb))) / greatest(size(u), 1))")
+    share = F.expr(f"aggregate(array(slice(sort_array(array_union(sa, sb)), 1, {SKETCH})), 0D, (x, u) -> size(array_intersect(u, array_intersect(sa, sb))) / greatest(size(u), 1))")
     return both.where(share >= low).select("a", "b", "na", "nb")
 
 

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .chat import op7_chat_formatting
 from .decontaminate import op9_benchmark_decontamination
+from .license_scan import op3_license_scan
 from .line_crf import op5_quality_classifier
 from .minhash_dedup import op10_minhash_near_dedup
 from .packing import op8_best_fit_packing
+from .quality_rules import op2_quality_rules
 from .sharding import op6_sharding
 from .substring_dedup import op4_substring_dedup
 from .unigram import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_sharding": op6_sharding,
