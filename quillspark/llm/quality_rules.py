@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 ALPHA, DELTA = 0.02, 0.05
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "shout_share")
 TOP = 1000
@@ -129,7 +131,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     language is a stratum of its own, as is the empty one with it.  Repeated rows come back as often; repeated
     labels count once, a document labelled both ways counts as good.  Other columns are not looked at.
     """
-    measured = metrics(docs)
+    measured = cut(metrics(docs), "rule-metrics")  # a few numbers for each row, read twice
     limits = cutoffs(measured, labels, alpha, delta)  # a row for each stratum
     rows = measured.join(limits.withColumnRenamed("stratum", "_s"), measured["stratum"] == F.col("_s"), "left")
     over = F.lit(False)
