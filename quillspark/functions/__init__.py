@@ -1 +1,13 @@
 """Scalar functions as Column expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]

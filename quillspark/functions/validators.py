@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
 from .privacy import coerce_pattern, coercion_notes, compact, to_digits
 
 # The dihedral group's products and the positional permutations of the Verhoeff scheme.
@@ -38,11 +39,6 @@ def _note(when: Column, text: Column | str) -> Column:
     return F.when(when, F.array(text if isinstance(text, Column) else F.lit(text))).otherwise(_none())
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once for a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _by_pattern(value: Column, pattern: str | None, rule: Callable[[Column], tuple[Column, Column, Column]]) -> Column:
     """Compact, put look-alikes right, then judge: ``rule`` gives (normalized, passed, notes)."""
     start = compact(value)
@@ -52,7 +48,7 @@ def _by_pattern(value: Column, pattern: str | None, rule: Callable[[Column], tup
         return _verdict(normalized, passed, F.concat(coercion_notes(pair["before"], pair["after"]), notes), pair["before"] != pair["after"])
 
     after = to_digits(start) if pattern is None else coerce_pattern(start, pattern)
-    return _let(F.struct(start.alias("before"), after.alias("after")), judge)
+    return let(F.struct(start.alias("before"), after.alias("after")), judge)
 
 
 def verhoeff_valid(digits: Column) -> Column:
@@ -175,7 +171,7 @@ def date_value(value: Column, kind: str, as_of: Column) -> Column:
 
     def judge(x: Column) -> Column:
         d = parse_date(x["clean"], kind in ("date_past", "date_form"), as_of)
-        return _let(F.struct(d.alias("d"), (x["clean"] != x["upper"]).alias("c")), verdict)
+        return let(F.struct(d.alias("d"), (x["clean"] != x["upper"]).alias("c")), verdict)
 
     def verdict(x: Column) -> Column:
         d = x["d"]
@@ -191,7 +187,7 @@ def date_value(value: Column, kind: str, as_of: Column) -> Column:
         )
         return _verdict(F.date_format(d, "yyyy-MM-dd"), d.isNotNull() & ~F.coalesce(future | odd | old, F.lit(False)), notes, x["c"])
 
-    return _let(F.struct(cleaned.alias("clean"), upper.alias("upper")), judge)
+    return let(F.struct(cleaned.alias("clean"), upper.alias("upper")), judge)
 
 
 def driving_licence(value: Column, as_of: Column) -> Column:
@@ -247,9 +243,9 @@ def mrz_line(value: Column) -> Column:
             wrong("composite", F.concat(F.substring(v, 1, 10), F.substring(v, 14, 7), F.substring(v, 22, 22)), p("composite_check")),
         )
         short = _note(~whole, F.concat(F.lit("MRZ line 2 must be 44 characters, got "), F.length(v).cast("string")))
-        return _let(F.concat(short, fails), lambda notes: _verdict(v, whole & (F.size(notes) == 0), notes))
+        return let(F.concat(short, fails), lambda notes: _verdict(v, whole & (F.size(notes) == 0), notes))
 
-    return _let(line, judge)
+    return let(line, judge)
 
 
 def mrz_date(yymmdd: Column, prefer_past: bool, as_of: Column) -> Column:
@@ -271,12 +267,12 @@ def name(value: Column) -> Column:
         letters, figures = v.rlike("[A-Za-z]"), v.rlike(r"\p{Nd}")
         return _verdict(v, letters & ~figures, F.concat(_note(~letters, "name contains no letters"), _note(letters & figures, "name contains digits")))
 
-    return _let(_tidy(value), judge)
+    return let(_tidy(value), judge)
 
 
 def place(value: Column) -> Column:
     good = lambda v: v.rlike(r"^[A-Za-z][A-Za-z .,'\-]*$")
-    return _let(_tidy(value), lambda v: _verdict(v, good(v), _note(~good(v), "place name contains unexpected characters")))
+    return let(_tidy(value), lambda v: _verdict(v, good(v), _note(~good(v), "place name contains unexpected characters")))
 
 
 def text(value: Column) -> Column:
@@ -309,7 +305,7 @@ def checkbox(value: Column, options: Column) -> Column:
             F.concat(_note(n == 0, "selected option does not match any printed option"), _note(n > 1, F.concat(n.cast("string"), F.lit(" options appear selected; exactly one expected")))),
         )
 
-    return _let(F.array_distinct(F.filter(F.transform(parts, option), lambda o: o.isNotNull())), judge)
+    return let(F.array_distinct(F.filter(F.transform(parts, option), lambda o: o.isNotNull())), judge)
 
 
 def registry(as_of: Column) -> dict[str, Callable[[Column], Column]]:

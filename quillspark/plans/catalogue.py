@@ -690,13 +690,13 @@ _EVIDENCE_SQL = """e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
     f"""WITH {_EVIDENCE_SQL},
         s AS (SELECT *, (35 * agreement + coalesce(20 * validation, 0) + coalesce(15 * legibility, 0) + coalesce((CASE WHEN hand THEN 5 ELSE 10 END) * ocr, 0) + 10 * 50)
               / (35 + (CASE WHEN validation IS NULL THEN 0 ELSE 20 END) + (CASE WHEN legibility IS NULL THEN 0 ELSE 15 END) + (CASE WHEN ocr IS NULL THEN 0 WHEN hand THEN 5 ELSE 10 END) + 10) AS base FROM e)
-        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least(base, CASE WHEN NOT majority THEN 40 ELSE 100 END, CASE WHEN empty THEN 75 ELSE 100 END, CASE WHEN validation = 0 THEN 70 ELSE 100 END, CASE WHEN coerced THEN 84 ELSE 100 END, CASE WHEN hand AND n_reads < 2 THEN 80 ELSE 100 END), 1) AS percent FROM s""",
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(least(base, CASE WHEN NOT majority THEN 40 ELSE 100 END, CASE WHEN empty THEN 75 ELSE 100 END, CASE WHEN validation = 0 THEN 70 ELSE 100 END, CASE WHEN coerced THEN 84 ELSE 100 END, CASE WHEN hand AND n_reads < 2 THEN 80 ELSE 100 END) / 5 + 0.97) AS fifth FROM s""",
 )
 def p25_score_caps(spark, sf_dir):
     i = F.col("l_quantity").cast("bigint")
     line, supp = F.col("l_linenumber"), F.col("l_suppkey")
     e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (i % 5 * 0.25).alias("agreement"), F.when(i % 3 == 1, 0.0).when(i % 3 == 2, 1.0).alias("validation"), F.when(line % 2 != 0, 0.6).alias("legibility"), F.when(line % 3 != 0, 0.8).alias("ocr"), F.lit(None).cast("double").alias("proximity"), F.lit(0.5).alias("image_quality"), (line % 4 > 0).alias("majority"), (line % 5 == 0).alias("some_read_empty"), (line % 7 == 0).alias("coerced"), (supp % 2 == 0).alias("handwritten"), (supp % 3).alias("n_vision_reads"), F.lit(False).alias("missing"))
-    return documents.confidence(e).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("confidence") * 100, 1).alias("percent"))
+    return documents.confidence(e).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("confidence") * 20 + 0.97).cast("double").alias("fifth"))
 
 
 @query("p26_legibility", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(greatest(0.0, CASE WHEN l_linenumber % 2 = 0 THEN (1.0 + 0.25) / 2 ELSE 0.5 END - 0.15 * (l_suppkey % 3)), 4) AS legibility FROM lineitem")

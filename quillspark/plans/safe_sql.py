@@ -9,10 +9,10 @@ Execution is tagged, cancelled at a deadline, and its rows are capped.
 from __future__ import annotations
 
 import re
-import threading
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,27 +101,29 @@ def run(df: DataFrame, sql: str, table: str = "df", rows: int = MAX_ROWS, second
     if bad:
         return Result(False, error="; ".join(bad))
     tag = f"quillspark-{uuid.uuid4().hex}"
-    late = threading.Event()
-
-    def stop() -> None:
-        late.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
-    try:
-        df.createOrReplaceTempView(table)
-        timer.start()
-        out = spark.sql(sql)
-        got = out.limit(rows + 1).collect()
-        return Result(True, out.limit(rows), got[:rows], len(got) > rows)
-    except PySparkException as e:
-        return Result(False, error="the time limit was reached" if late.is_set() else _sanitise(f"{e.getCondition() or type(e).__name__}: {e}"))
-    except Exception as e:  # an interrupted job may surface as a gateway error
-        return Result(False, error="the time limit was reached" if late.is_set() else _sanitise(f"{type(e).__name__}: {e}"))
-    finally:
-        timer.cancel()
-        spark.removeTag(tag)
+    done: list[Result] = []
+
+    def work() -> None:
+        spark.addTag(tag)
+        try:
+            df.createOrReplaceTempView(table)
+            out = spark.sql(sql)
+            got = out.limit(rows + 1).collect()
+            done.append(Result(True, out.limit(rows), got[:rows], len(got) > rows))
+        except PySparkException as e:
+            done.append(Result(False, error=_sanitise(f"{e.getCondition() or type(e).__name__}: {e}")))
+        except Exception as e:  # an interrupted job may surface as a gateway error
+            done.append(Result(False, error=_sanitise(f"{type(e).__name__}: {e}")))
+        finally:
+            spark.removeTag(tag)
+
+    worker = InheritableThread(target=work, daemon=True)
+    worker.start()
+    worker.join(seconds)
+    if done:
+        return done[0]
+    spark.interruptTag(tag)  # its tasks end as soon as they notice; the answer doesn't wait for them
+    return Result(False, error="the time limit was reached")
 
 
 CHARTS = ("bar", "barh", "line", "pie", "scatter")

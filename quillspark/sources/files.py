@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,21 @@ MAGIC = {".png": "89504E47", ".jpg": "FFD8FF", ".jpeg": "FFD8FF", ".pdf": "25504
 
 def load_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, name, suffix, content, sha1, error: every file of a folder in order of its path; the bad ones say why."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return gate(files.select("path", "content"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    # Spark's reader leaves out files without a byte; the listing names them
+    empty = [(p, bytearray()) for p in _empty_files(spark, path) if fnmatch(p.rsplit("/", 1)[-1], glob)]
+    return gate(files.unionByName(spark.createDataFrame(empty, "path string, content binary")))
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            found.append(status.getPath().toString())
+    return found
 
 
 def gate(files: DataFrame) -> DataFrame:
