@@ -30,12 +30,34 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._memo: dict[bytes, bytes] = {}
+        self._last = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
+        self._last[[i for token, i in self._tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._most = memo
 
     def _learn(self, parts: list[bytes]) -> None:
-        memo = self._memo
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
+        """Put new parts into the memo.
+
+        A part of letters alone is one word for the tokenizer, and only a word's last
+        token ends it; so such parts go in as one text, whose ids are cut at those
+        tokens.  Should their number differ, the parts go in one by one as the others do.
+        """
+        memo, rest = self._memo, []
+        letters = [p for p in parts if p.decode().isalpha()]
+        for at in range(0, len(letters), 1024):
+            some = letters[at : at + 1024]
+            ids = np.array(self._tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self._last[ids]) + 1
+            if len(ends) != len(some):
+                rest += some
+                continue
+            raw, begin = ids.tobytes(), 0
+            for part, end in zip(some, (4 * ends).tolist(), strict=True):
+                memo[part] = raw[begin:end]
+                begin = end
+        known = set(letters)
+        rest += [p for p in parts if p not in known]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             found = self._tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
             for part, ids in zip(some, found, strict=True):
                 memo[part] = array("I", ids.ids).tobytes()
