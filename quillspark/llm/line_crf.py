@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .scratch import python_ready
 from .wordkernel import Words, mix
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 3000
 ROUNDS = (80, 40, 40)
 #: A longer document is several chains in training, so that steps stay few.
 CHAIN = 200
@@ -165,7 +165,9 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) ->
 
 
 def _emissions(columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    good = weights[columns].sum(axis=1) if len(columns) else np.zeros(0)
+    good = np.zeros(len(columns))
+    for j in range(columns.shape[1]):
+        good += weights[columns[:, j]]
     return np.stack((np.zeros_like(good), good), axis=1)
 
 
@@ -182,14 +184,15 @@ def _fit(columns: np.ndarray, first: np.ndarray, states: np.ndarray, weights: np
     for k in range(1, rounds + 1):
         node, pair, _ = forward_backward(_emissions(columns, weights), first, trans)
         miss = states - node[:, 1]
-        up = [np.bincount(columns.ravel(), weights=np.repeat(miss, columns.shape[1]), minlength=FEATURES) / n - line_weight * weights, (counted - pair) / n - line_weight * trans]
+        seen = sum(np.bincount(columns[:, j], weights=miss, minlength=FEATURES) for j in range(columns.shape[1]))
+        up = [seen / n - line_weight * weights, (counted - pair) / n - line_weight * trans]
         for value, m, s, g in zip((weights, trans), moment, square, up, strict=True):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             value += 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
 
 
-def _raw(lines: Lines, node: np.ndarray) -> np.ndarray:
+def _raw(lines: Lines | _Chunked, node: np.ndarray) -> np.ndarray:
     """Mean of the good state's marginals, weighted by length, as log odds."""
     n = len(lines.first) - 1
     weight = lines.size + 1.0
@@ -198,9 +201,24 @@ def _raw(lines: Lines, node: np.ndarray) -> np.ndarray:
     return np.log(mean / (1 - mean))
 
 
+class _Chunked:
+    """The lines of many texts, taken a few texts at a time so that the driver never holds byte counts of all."""
+
+    def __init__(self, texts: pa.Array, step: int = 100):
+        doc, size, columns, n = [], [], [], 0
+        for at in range(0, max(len(texts), 1), step):
+            lines = Lines(texts.slice(at, step))
+            doc.append(lines.doc + n)
+            size.append(lines.size)
+            columns.append(lines.columns.astype(np.int16))
+            n += len(lines.first) - 1
+        self.doc, self.size, self.columns = np.concatenate(doc), np.concatenate(size), np.concatenate(columns)
+        self.first = np.searchsorted(self.doc, np.arange(n + 1))
+
+
 def train(texts: pa.Array, labels: np.ndarray) -> dict[str, np.ndarray]:
     """The field's weights and transitions and the curve's two numbers; without both labels all scores are the share of label 1."""
-    lines = Lines(texts)
+    lines = _Chunked(texts)
     weights, trans, curve = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)
     if len(labels) == 0 or labels.min() == labels.max():
         curve[0] = 0.0 if len(labels) == 0 else (4.0 if labels.max() else -4.0)
