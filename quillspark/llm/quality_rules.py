@@ -143,3 +143,28 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: The same rules and cutoffs in SQL: the binomial tail is summed term by term.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, stratum, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY 1),
+m AS (SELECT w.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(length(regexp_replace(array_to_string(words, ''), '[^A-Z!?]', '', 'g')) AS BIGINT) AS n_shouts
+      FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        [least({TOP}, 1000 * n_symbols // greatest(word_chars, 1)), least({TOP}, 1000 * n_dup_lines // greatest(n_lines, 1)), least({TOP}, 1000 * n_repeat_words // greatest(n_words, 1)), least({TOP}, 1000 * n_shouts // greatest(word_chars, 1))] AS shares FROM m),
+h AS (SELECT stratum, unnest(range(1, {len(RULES) + 1})) AS rule, shares FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+v AS (SELECT stratum, rule, shares[rule] AS value, count(*) AS n FROM h GROUP BY 1, 2, 3),
+k AS (SELECT stratum, rule, value, sum(n) OVER (PARTITION BY stratum, rule ORDER BY value DESC) - n AS above, sum(n) OVER (PARTITION BY stratum, rule) AS total FROM v),
+p AS (SELECT *, list_sum(list_transform(range(0, CAST(above AS BIGINT) + 1), lambda i: exp(lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + i * ln({ALPHA / len(RULES)}) + (total - i) * ln(1 - {ALPHA / len(RULES)})))) AS tail FROM k WHERE above < total * {ALPHA / len(RULES)}),
+l AS (SELECT stratum, rule, min(value) AS cutoff FROM p WHERE tail <= {DELTA} / ({len(RULES)} * (SELECT greatest(count(DISTINCT stratum), 1) FROM v)) GROUP BY 1, 2),
+o AS (SELECT stratum, map_from_entries(list((rule, cutoff))) AS cut FROM l GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT list_bool_or(list_transform(range(1, {len(RULES) + 1}), lambda i: coalesce(shares[i] > cut[i], false))) AS kept
+FROM s LEFT JOIN o ON s.stratum = o.stratum
+"""

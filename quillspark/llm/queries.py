@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import chat, quality_rules
 from .chat import op7_chat_formatting
 from .decontaminate import op9_benchmark_decontamination
 from .license_scan import op3_license_scan
@@ -26,4 +27,9 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hold trained models, hashes, alignments, tokenizers, seeded generators or lookaround, which SQL can't express;
+#: their tests compare them with brute force, exact round trips or held-out labels.
+ORACLE_SQL = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op7_chat_formatting": chat.ORACLE_SQL,
+}
