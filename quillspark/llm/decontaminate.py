@@ -5,13 +5,12 @@
    in parts of that size, so what is broadcast has a fixed bound.
 2. One pass over the documents finds every n-gram of the table.  Hits of a
    document and an item on neighbouring diagonals make a window: the words
-   about them, wide enough for a whole copy.
-3. Rarity is counted over all documents: of each stretch of an item the n-grams with
-   the fewest documents count as rare, so an item has rare seeds however
-   often it is copied.  A window goes on if at least ``SEEDS`` of its distinct seeds are
-   rare.
-4. Smith-Waterman over words (equal +2, other -1, gap -1) scores window against item;
-   the score over that of a whole copy is the similarity.
+   about them, wide enough for a whole copy.  A window needs ``SEEDS`` distinct
+   n-grams, one if the item has fewer than ``SHORT`` words.  How common an
+   n-gram is doesn't matter: a copy may have kept just the common ones.
+3. Smith-Waterman over words (equal +2, other -1, gap -1) scores window against item;
+   the score over that of a whole copy is the similarity.  Windows with
+   too few of the item's words for the threshold are left out before.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import cut, python_ready
@@ -29,8 +28,8 @@ from .wordkernel import Words, as_long, as_word, ragged, shingles
 GRAM, SEEDS = 3, 2
 #: Score, as part of a whole copy's, from which an item counts as held.
 THRESHOLD = 0.6
-#: Of ``STRETCH`` neighbouring n-grams of an item the ``RARE`` with the fewest documents are rare.
-STRETCH, RARE = 4, 2
+#: Copies at the threshold of items from this length on have at least ``SEEDS`` n-grams, whichever words were replaced.
+SHORT = 16
 TABLE = 2_000_000
 EQUAL, OTHER, SPACE = 2, -1, -1
 
@@ -61,13 +60,13 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, at[0], at[1]
 
 
-def _windows(grams: np.ndarray, first: np.ndarray, items: np.ndarray, places: np.ndarray, lengths: dict[int, int]):
+def _windows(grams: np.ndarray, first: np.ndarray, items: np.ndarray, places: np.ndarray, lengths: dict[int, int], needs: dict[int, int]):
     """Windows of documents about hits; ``grams`` is sorted, ``first`` bounds each one's (item, place) entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words(batch.column(1))
-            ids, item_out, starts, parts, seeds = [], [], [], [], []
+            ids, item_out, starts, parts = [], [], [], []
             for i in range(batch.num_rows):
                 own = words.of(i)
                 h = shingles(own, GRAM)
@@ -76,7 +75,7 @@ def _windows(grams: np.ndarray, first: np.ndarray, items: np.ndarray, places: np
                 at = np.searchsorted(grams, h)
                 at[at == len(grams)] = 0
                 hit = np.flatnonzero(grams[at] == h)
-                if len(hit) < SEEDS:
+                if len(hit) == 0:
                     continue
                 g = at[hit]
                 many = first[g + 1] - first[g]
@@ -89,10 +88,9 @@ def _windows(grams: np.ndarray, first: np.ndarray, items: np.ndarray, places: np
                 slack = np.array([max(8, lengths[x] // 4) for x in item.tolist()])
                 edge = np.flatnonzero((item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])) + 1
                 for lo, hi in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(item)])), strict=True):
-                    distinct = np.unique(gram[lo:hi])
-                    if len(distinct) < SEEDS:
-                        continue
                     name = int(item[lo])
+                    if len(np.unique(gram[lo:hi])) < needs[name]:
+                        continue
                     wide = max(8, lengths[name] // 4)
                     # a long chain of beginnings (an item repeated at once) is cut into windows of bounded length
                     a = max(0, int(begin[lo]) - wide)
@@ -100,16 +98,15 @@ def _windows(grams: np.ndarray, first: np.ndarray, items: np.ndarray, places: np
                     while a < end:
                         b = min(end, a + 4 * lengths[name] + 4 * wide)
                         here = np.unique(gram[lo:hi][(pos[lo:hi] >= a) & (pos[lo:hi] < b)])
-                        if len(here) >= SEEDS:
+                        if len(here) >= needs[name]:
                             ids.append(batch.column(0)[i].as_py())
                             item_out.append(name)
                             starts.append(a)
                             parts.append(as_long(own[a:b]))
-                            seeds.append(as_long(grams[here]))
                         if b == end:
                             break
                         a = b - lengths[name] - wide
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(item_out, pa.int64()), pa.array(starts, pa.int64()), ragged(parts, pa.int64()), ragged(seeds, pa.int64())], names=["doc_id", "item_id", "base", "words", "seeds"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(item_out, pa.int64()), pa.array(starts, pa.int64()), ragged(parts, pa.int64())], names=["doc_id", "item_id", "base", "words"])
 
     return run
 
@@ -144,15 +141,10 @@ def _part(docs: DataFrame, items: list[tuple[int, np.ndarray]], threshold: float
     table, first = np.unique(flat[order], return_index=True)
     first = np.append(first, len(flat))
     lengths = {i: len(w) for i, w in items}
-    found = cut(docs.mapInArrow(_windows(table, first, who[order], place[order], lengths), "doc_id bigint, item_id bigint, base bigint, words array<bigint>, seeds array<bigint>"), "leak-windows")
-    # documents of each n-gram, then the rarest of each stretch of each item
-    spark = docs.sparkSession
-    count = found.select("doc_id", F.explode("seeds").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("n_docs"))
-    where = spark.createDataFrame([(int(i), int(p) // STRETCH, int(g)) for i, p, g in zip(who[order].tolist(), place[order].tolist(), as_long(flat[order]).tolist(), strict=True)], "item_id bigint, stretch bigint, gram bigint") if len(flat) else spark.createDataFrame([], "item_id bigint, stretch bigint, gram bigint")
-    by = Window.partitionBy("item_id", "stretch").orderBy("n_docs", "gram")
-    rare = where.distinct().join(count, "gram").withColumn("r", F.row_number().over(by)).where(F.col("r") <= RARE).groupBy("item_id").agg(F.collect_set("gram").alias("rare"))
-    seeded = found.join(rare, "item_id").where(F.size(F.array_intersect("seeds", "rare")) >= SEEDS).select("doc_id", "item_id", "base", "words")
-    return seeded.mapInArrow(_scores(dict(items), threshold), "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, score bigint, similarity double")
+    needs = {i: 1 if len(w) < SHORT else min(SEEDS, len(np.unique(g))) for (i, w), g in zip(items, grams, strict=True)}
+    # in a table of their own, so that windows of one file of documents are scored by many tasks
+    found = cut(docs.mapInArrow(_windows(table, first, who[order], place[order], lengths, needs), "doc_id bigint, item_id bigint, base bigint, words array<bigint>"), "leak-windows")
+    return found.repartition("doc_id", "item_id", "base").mapInArrow(_scores(dict(items), threshold), "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, score bigint, similarity double")
 
 
 def _items(benchmark: DataFrame) -> list[tuple[int, np.ndarray]]:

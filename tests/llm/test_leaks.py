@@ -47,6 +47,15 @@ def test_an_item_that_every_document_holds(spark, docs_of):
     assert len(rows) == 60 and all(r.similarity == 1 and r.start_word == 2 and r.end_word == 32 for r in rows)
 
 
+def test_an_exact_and_an_edited_copy_of_one_item(spark, docs_of):
+    item = [f"z{i}" for i in range(22)]
+    edited = [f"q{i}" if i in (4, 9, 14, 19) else w for i, w in enumerate(item)]
+    docs = [(1, item), (2, edited), (3, [f"n{i}" for i in range(40)]), (4, ["a", "p", "q", "r", "b"])]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "p q r")], "item_id bigint, text string")
+    rows = leaks(docs_of([(k, " ".join(w)) for k, w in docs]), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in rows) == [(1, 1, 44), (2, 1, 32), (4, 2, 6)]
+
+
 def test_odd_rows(spark, odd, none):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     bench = spark.createDataFrame([(1, "the same line")], "item_id bigint, text string")
