@@ -65,10 +65,17 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([_key(s) for s in sets], pa.binary()), ragged([as_long(s) for s in sets], pa.int64())], names=["key", "values"])
 
 
-def _runs(classes: DataFrame) -> DataFrame:
-    """(run, key): one row for each run of neighbouring retained values."""
+def _runs(classes: DataFrame, percent: int) -> DataFrame:
+    """(run, key): one row for each run of neighbouring retained values.
+
+    Below 84 percent sets of four and five values may be linked by runs of two and two only, so these have runs of two.
+    """
     run = F.expr(f"transform(sequence(1, size(sketch) - {RUN - 1}), i -> xxhash64(slice(sketch, i, {RUN})))")
-    return classes.where(F.size("sketch") >= RUN).select("key", F.explode(run).alias("run"))
+    keyed = classes.where(F.size("sketch") >= RUN).select("key", F.explode(run).alias("run"))
+    if percent >= 84:
+        return keyed
+    short = F.expr("transform(sequence(1, size(sketch) - 1), i -> xxhash64(slice(sketch, i, 2)))")
+    return keyed.unionByName(classes.where("size(sketch) IN (4, 5)").select("key", F.explode(short).alias("run")))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = cut(sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "near-classes")
     ids = classes.where("rep IS NOT NULL").select("key", "rep")
 
-    runs = _runs(classes)
+    runs = _runs(classes, percent)
     sizes = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
     lists = cut(runs.join(sizes, "run"), "near-lists")
     fame = lists.groupBy("key").agg(F.sum("n").alias("fame"))
