@@ -23,23 +23,31 @@ NAMES = (
     ("apache", "apache", "apache (?:software )?(?:license|licence)"),
     ("mit", "mit license", "mit license"),
     ("mit", "mit licence", "mit licence"),
-    ("mit-0", "mit 0", "mit 0(?: license)?|mit no attribution"),
+    ("mit-0", "mit 0", "mit 0(?: license)?"),
+    ("mit-0", "mit attribution", "mit no attribution"),
     ("x11", "x11", "x11 license"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)(?: license)?"),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: license)?"),
+    ("bsd-2-clause", "freebsd", "freebsd(?: license)?"),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: license)?"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: license)?"),
-    ("bsd-0-clause", "bsd", "(?:zero clause bsd|0bsd|bsd 0 clause)(?: license)?"),
+    ("bsd-0-clause", "bsd", "(?:zero clause bsd|bsd 0 clause)(?: license)?"),
+    ("bsd-0-clause", "0bsd", "0bsd(?: license)?"),
     ("bsd", "bsd", "bsd (?:style )?(?:license|licence)"),
     ("gpl-1.0", "general public", "gnu general public license (?:version |v)1(?: 0)?"),
     ("gpl-2.0", "general public", "gnu general public license (?:version |v)2(?: 0)?"),
     ("gpl-3.0", "general public", "gnu general public license (?:version |v)3(?: 0)?"),
     ("gpl", "general public", "gnu general public license"),
-    ("gpl-2.0", "gpl", "(?:gnu )?gpl ?(?:version |v)?2(?: 0)?"),
-    ("gpl-3.0", "gpl", "(?:gnu )?gpl ?(?:version |v)?3(?: 0)?"),
-    ("gpl-2.0", "gplv2", "gplv2"),
-    ("gpl-3.0", "gplv3", "gplv3"),
+    ("gpl-2.0", "gpl", "(?:gnu )?gpl (?:version |v)?2(?: 0)?"),
+    ("gpl-2.0", "gpl2", "(?:gnu )?gpl2(?: 0)?"),
+    ("gpl-2.0", "gplversion", "(?:gnu )?gplversion 2(?: 0)?"),
+    ("gpl-3.0", "gpl", "(?:gnu )?gpl (?:version |v)?3(?: 0)?"),
+    ("gpl-3.0", "gpl3", "(?:gnu )?gpl3(?: 0)?"),
+    ("gpl-3.0", "gplversion", "(?:gnu )?gplversion 3(?: 0)?"),
+    ("gpl-2.0", "gplv2", "(?:gnu )?gplv2(?: 0)?"),
+    ("gpl-3.0", "gplv3", "(?:gnu )?gplv3(?: 0)?"),
     ("gpl", "gpl", "gnu gpl"),
-    ("lgpl-2.0", "lesser general", "gnu (?:lesser|library) general public license (?:version |v)2(?: 0)?"),
+    ("lgpl-2.0", "lesser general", "gnu lesser general public license (?:version |v)2(?: 0)?"),
+    ("lgpl-2.0", "library general", "gnu library general public license (?:version |v)2(?: 0)?"),
     ("lgpl-2.1", "lesser general", "gnu lesser general public license (?:version |v)2 1"),
     ("lgpl-3.0", "lesser general", "gnu lesser general public license (?:version |v)3(?: 0)?"),
     ("lgpl", "lesser general", "gnu lesser general public license"),
@@ -216,7 +224,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 #: Of every rule's keywords at least one is among these.
-_TRIGGERS = {"apache", "license", "licence", "0", "x11", "bsd", "general", "gpl", "gplv2", "gplv3", "lgpl", "affero", "agpl", "documentation", "mozilla", "eclipse", "cddl", "distribution", "common", "eupl", "european", "isc", "zlib", "unlicense", "wtfpl", "artistic", "python", "boost", "microsoft", "font", "postgresql", "openssl", "php", "ruby", "database", "cc0", "domain", "proprietary", "copyright", "cc", "creative"}
+_TRIGGERS = {"apache", "license", "licence", "0", "attribution", "x11", "bsd", "freebsd", "0bsd", "general", "gpl", "gpl2", "gpl3", "gplversion", "gplv2", "gplv3", "lgpl", "affero", "agpl", "documentation", "mozilla", "eclipse", "cddl", "distribution", "common", "eupl", "european", "isc", "zlib", "unlicense", "wtfpl", "artistic", "python", "boost", "microsoft", "font", "postgresql", "openssl", "php", "ruby", "database", "cc0", "domain", "proprietary", "copyright", "cc", "creative"}
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,5 +96,16 @@ def test_scan_matches_brute_force(spark, sf, docs_of, odd):
     assert license_scan(odd).count() == 11
 
 
+def test_names_that_lack_a_keyword_of_other_names(docs_of):
+    cases = {"MIT No Attribution": "mit-0", "FreeBSD license": "bsd-2-clause", "0BSD": "bsd-0-clause", "GNU Library General Public License version 2": "lgpl-2.0", "GPL2": "gpl-2.0", "GPL3": "gpl-3.0", "gnu gplversion 3": "gpl-3.0"}
+    docs = list(enumerate(cases))
+    got = {r.doc_id: r.labels.split(",") for r in license_scan(docs_of(docs)).collect()}
+    for i, text in docs:
+        assert cases[text] in got[i], text
+        norm = f" {text.lower()} "
+        # every rule that matches, without any gate, has its keywords
+        assert all(k in norm.split() for _, _, _, keys, regex in rules() if re.search(regex, norm) for k in keys), text
+
+
 def test_scan_of_nothing(none):
     assert license_scan(none).collect() == []
