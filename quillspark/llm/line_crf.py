@@ -8,8 +8,9 @@ A document's raw quality is the mean of its lines' marginals of the good
 state, weighted by length; a logistic curve, fit on the training documents, makes it
 the probability of label 1.
 
-Training takes at most ``TRAIN_DOCS`` labelled documents (the least hashes of
-doc_id) to the driver.  Scoring is one pass over whole texts without a shuffle.
+Training takes the lines' features of at most ``TRAIN_DOCS`` labelled documents and ``TRAIN_LINES`` lines (the
+least hashes of doc_id) to the driver, never their texts; features are made where
+the texts are.  Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import python_ready
+from .scratch import cut, drop, python_ready
 from .wordkernel import Words, mix
 
-TRAIN_DOCS = 3000
+TRAIN_DOCS, TRAIN_LINES = 3000, 300_000
 ROUNDS = (80, 40, 40)
 #: A longer document is several chains in training, so that steps stay few.
 CHAIN = 200
@@ -192,7 +193,7 @@ def _fit(columns: np.ndarray, first: np.ndarray, states: np.ndarray, weights: np
             value += 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
 
 
-def _raw(lines: Lines | _Chunked, node: np.ndarray) -> np.ndarray:
+def _raw(lines: Lines | Training, node: np.ndarray) -> np.ndarray:
     """Mean of the good state's marginals, weighted by length, as log odds."""
     n = len(lines.first) - 1
     weight = lines.size + 1.0
@@ -201,24 +202,26 @@ def _raw(lines: Lines | _Chunked, node: np.ndarray) -> np.ndarray:
     return np.log(mean / (1 - mean))
 
 
-class _Chunked:
-    """The lines of many texts, taken a few texts at a time so that the driver never holds byte counts of all."""
+class Training:
+    """The lines of training documents: document, size and features of each, from two byte strings a document."""
 
-    def __init__(self, texts: pa.Array, step: int = 100):
-        doc, size, columns, n = [], [], [], 0
-        for at in range(0, max(len(texts), 1), step):
-            lines = Lines(texts.slice(at, step))
-            doc.append(lines.doc + n)
-            size.append(lines.size)
-            columns.append(lines.columns.astype(np.int16))
-            n += len(lines.first) - 1
-        self.doc, self.size, self.columns = np.concatenate(doc), np.concatenate(size), np.concatenate(columns)
-        self.first = np.searchsorted(self.doc, np.arange(n + 1))
+    def __init__(self, sizes: list[bytes], columns: list[bytes]):
+        many = np.array([len(s) // 4 for s in sizes], dtype=np.int64)
+        self.doc, self.first = np.repeat(np.arange(len(many)), many), np.concatenate(([0], np.cumsum(many)))
+        self.size = np.frombuffer(b"".join(sizes), dtype="<i4")
+        self.columns = np.frombuffer(b"".join(columns), dtype="<i2").reshape(len(self.size), len(_EDGES) + 2 * len(_NEAR))
 
 
-def train(texts: pa.Array, labels: np.ndarray) -> dict[str, np.ndarray]:
+def line_features(texts: pa.Array) -> tuple[list[bytes], list[bytes]]:
+    """Sizes (32 bits) and features (16 bits) of each text's lines."""
+    lines = Lines(texts)
+    size, columns = lines.size.astype("<i4"), lines.columns.astype("<i2")
+    spans = list(zip(lines.first[:-1], lines.first[1:], strict=True))
+    return [size[a:b].tobytes() for a, b in spans], [columns[a:b].tobytes() for a, b in spans]
+
+
+def train(lines: Training, labels: np.ndarray) -> dict[str, np.ndarray]:
     """The field's weights and transitions and the curve's two numbers; without both labels all scores are the share of label 1."""
-    lines = _Chunked(texts)
     weights, trans, curve = np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)
     if len(labels) == 0 or labels.min() == labels.max():
         curve[0] = 0.0 if len(labels) == 0 else (4.0 if labels.max() else -4.0)
@@ -261,12 +264,31 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
-    """A model from labelled documents that aren't held out; of rows that share a doc_id the least label and text count."""
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size, columns = line_features(batch.column(2))
+        many = pa.array([len(s) // 4 for s in size], pa.int64())
+        yield pa.record_batch([batch.column(0), batch.column(1), many, pa.array(size, pa.binary()), pa.array(columns, pa.binary())], names=["doc_id", "quality", "n_lines", "size", "columns"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> dict[str, np.ndarray]:
+    """A model from labelled documents that aren't held out; of rows that share a doc_id the least label and text count.
+
+    At most ``train_docs`` documents, in the order of a hash of doc_id, and of these as many as have ``train_lines`` lines together.
+    """
     ids = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).orderBy("doc_id").toArrow()
-    return train(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("quality").to_numpy().astype(np.int64))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = cut(texts.select("doc_id", "quality", "text").mapInArrow(_featured, "doc_id bigint, quality int, n_lines bigint, size binary, columns binary"), "crf-features")
+    so_far, left_out = 0, []
+    for r in rows.select("doc_id", "n_lines").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most train_docs rows of two numbers
+        if so_far + r.n_lines <= train_lines:
+            so_far += r.n_lines
+        else:
+            left_out.append(r.doc_id)
+    few = rows.where(~F.col("doc_id").isin(left_out)).orderBy("doc_id").select("quality", "size", "columns").toArrow()
+    drop(rows)
+    return train(Training(few.column("size").to_pylist(), few.column("columns").to_pylist()), few.column("quality").to_numpy().astype(np.int64))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -294,10 +316,15 @@ def _keep_good(model: dict[str, np.ndarray], threshold: float, column: int):
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``.
+
+    Null and empty texts are one empty line and scored as that; repeated rows stay or go together; an empty table
+    gives no rows.  Columns other than text don't matter to a row's score, whatever their names and nulls.
+    """
     python_ready(docs.sparkSession)
     return docs.mapInArrow(_keep_good(fit(docs, labels), threshold, docs.columns.index("text")), docs.schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_lines, n_bad_lines of every document."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -8,24 +8,33 @@ a half-forgotten plan, and a later stage scans only the columns it needs.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Where each table that ``cut`` returned lies.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's, else one of our own."""
+    """The folder for intermediate tables: the cluster's; one of our own only if driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="quillspark-"))
+        made = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, made, True)
+        _LOCAL.append("file://" + made)
     return _LOCAL[0]
 
 
@@ -39,7 +48,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` returned, once all that is made of them is written."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

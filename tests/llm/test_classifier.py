@@ -1,10 +1,11 @@
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm.line_crf import Lines, forward_backward, good_documents, quality, train
+from quillspark.llm.line_crf import _EDGES, _NEAR, Lines, Training, fit, forward_backward, good_documents, line_features, quality, train
 
 
 def test_forward_backward_is_the_sum_over_all_labellings():
@@ -35,6 +36,51 @@ def test_lines():
     assert lines.size.tolist() == [3, 0, 1, 0, 0, 1, 0] and lines.first.tolist() == [0, 3, 4, 5, 7]
 
 
+def naive_features(text):
+    """The numbers of every line's features, a line and a character at a time."""
+    lines = (text or "").split("\n")
+    split = lambda s: [w for w in re.split("[\x20\x09-\x0d]+", s) if w]
+    kinds = {"symbols": "#*$%&|<>^~_=+\\@{}[]", "shouts": "!?", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789", "points": ".,;:'\"()-"}
+    bins, seen = [], set()
+    for line in lines:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
+        raw, words = line.encode(), [w.encode() for w in split(low)]
+        ink = max(1, sum(b > 0x20 for b in raw))
+        v = {k: sum(b in kind.encode() for b in raw) / ink for k, kind in kinds.items()}
+        v["foreign"] = sum(b >= 0x80 for b in raw) / ink
+        v |= {"length": len(line), "words": len(words), "word": sum(map(len, words)) / max(1, len(words)), "distinct": len(set(words)) / max(1, len(words)), "longest": max(map(len, words), default=0)}
+        v |= {"seen": bool(words) and tuple(words) in seen, "closed": line[-1:] in ("." , "!", "?", ":", '"') and line != ""}
+        seen.add(tuple(words))
+        bins.append({k: sum(v[k] >= e for e in edges) for k, edges in _EDGES.items()})
+    rows = []
+    for i, b in enumerate(bins):
+        row, base = [], 0
+        for k, edges in _EDGES.items():
+            row.append(base + b[k])
+            base += len(edges) + 1
+        for j in (i - 1, i + 1):
+            for k in _NEAR:
+                row.append(base + (bins[j][k] + 1 if 0 <= j < len(bins) else 0))
+                base += len(_EDGES[k]) + 2
+        rows.append(row)
+    return rows
+
+
+def test_features_are_those_of_a_plain_reading(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [None, "", "\n", "a\nA\n\nb!\n a \n", "é? É:\nx # 1,2\n\t\n", "THE THE\nthe the"]
+    lines = Lines(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert lines.columns[lines.first[i] : lines.first[i + 1]].tolist() == naive_features(text), text
+
+
+def test_training_is_bounded_by_lines(spark, docs_of):
+    docs = docs_of([(k, "\n".join(["a line"] * (1 + 50 * (k % 3)))) for k in range(60)])
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(60)], "doc_id bigint, quality int")
+    small, large = fit(docs, labels, train_lines=100), fit(docs, labels)
+    assert abs(large["weights"]).sum() > 0 and not np.array_equal(small["weights"], large["weights"])
+    assert fit(docs, labels, train_lines=0)["curve"].tolist() == [0, 0]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -55,5 +101,5 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_one_label_only():
-    model = train(pa.array(["a", "b"]), np.array([1, 1]))
+    model = train(Training(*line_features(pa.array(["a", "b"]))), np.array([1, 1]))
     assert model["curve"][0] > 0
