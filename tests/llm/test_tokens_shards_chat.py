@@ -9,7 +9,7 @@ from tokenizers import Tokenizer, models, normalizers
 
 from quillspark.llm.chat import CONTROLS, digests, escape, examples, full_examples, op7_chat_formatting, parse, render, unescape
 from quillspark.llm.scratch import new_path
-from quillspark.llm.sharding import fisher_yates, read_shards, write_shards
+from quillspark.llm.sharding import fisher_yates, op6_sharding, read_shards, shard_schema, write_shards
 from quillspark.llm.unigram import VOCABULARY, UnigramCounter, token_counts, vocabulary
 
 
@@ -61,7 +61,7 @@ def test_fisher_yates_is_uniform():
 def _shards(spark, df, **kw):
     path = new_path(spark, "test-shards")
     write_shards(df, path, **kw)
-    return read_shards(spark, path)
+    return read_shards(spark, path, shard_schema(df))
 
 
 def test_shards_hold_every_row_once(spark, odd, docs_of):
@@ -84,9 +84,36 @@ def test_shards_are_the_same_again(spark, sf):
     assert place(_shards(spark, docs)) != place(_shards(spark, docs, seed=9))
 
 
-def test_no_rows(spark, none):
-    path = new_path(spark, "test-shards")
-    write_shards(none, path)
+def test_copies_do_not_depend_on_the_partitioning(spark, docs_of):
+    hot = docs_of([(5, "hot")] * 900 + [(k, f"text {k}") for k in range(300)])
+    place = lambda df: sorted((repr(tuple(r))) for r in df.collect())
+    first = _shards(spark, hot.repartition(3), bucket_bytes=2000)
+    assert place(first) == place(_shards(spark, hot.repartition(11, "text"), bucket_bytes=2000))
+    counts = {r._shard: r["count"] for r in first.where("doc_id = 5").groupBy("_shard").count().collect()}
+    assert min(counts.values()) > 80 and len(counts) == 8  # 112 of 150 on average
+
+
+def test_own_columns_called_like_those_of_the_shards(spark):
+    df = spark.createDataFrame([(1, 2, 3, {"a": [1]}), (None, None, None, None)], "_SHARD int, _slot int, __slot int, m map<string, array<int>>")
+    out = _shards(spark, df)
+    assert out.columns == ["__SHARD", "___slot", "__slot", "m", "_slot", "_shard"]
+    assert sorted((str(tuple(r)[:4]), r._slot) for r in out.collect()) == [("(1, 2, 3, {'a': [1]})", 0), ("(None, None, None, None)", 0)]
+
+
+def test_no_rows(spark, none, sf, tmp_path):
+    assert _shards(spark, none).collect() == []
+    spark.read.parquet(f"{sf}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op6_sharding(spark, str(tmp_path))
+    assert out.collect() == [] and out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def test_sharding_query(spark, sf):
+    rows = op6_sharding(spark, sf).collect()
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {(r.doc_id, r.size, r.text_crc32) for r in rows} == {(i, len(t) + 1, zlib.crc32(t)) for i, t in docs.items()} and len(rows) == len(docs)
+    for k in range(8):
+        slots = sorted(r.slot for r in rows if r.shard == k)
+        assert slots == list(range(len(slots))) and len(slots) in (len(docs) // 8, -(-len(docs) // 8))
 
 
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "<\\/s>", "<\\\\/s> < \\ [\\INST]", "<<<s>", "<<SYS>><\\<SYS>>", " [/INST]", "[", "<s:assistant>x</s>", "", "a\n\nb"])
