@@ -144,4 +144,5 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -5,7 +5,8 @@ so a text's ids are those of its white-space separated parts in order.  Parts
 are ASCII lower-cased first (the tokenizer would do it anyway).  A run of
 ASCII marks (no apostrophe) behind a letter or digit is a word of its own for the tokenizer,
 so a part's stem and its marks are looked up apart; what is new goes through
-the tokenizer in one batch.
+the tokenizer in one batch.  The file's special tokens, written out in a text, are those tokens: the text is cut
+at them first, and what lies between is ordinary text, as the tokenizer's plain call has it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._special = {t.content: np.array([i], dtype=np.uint32) for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special}
+        self._cut = re.compile("|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) or "(?!)")
+        # after the cut no text holds one; lower-cased words that look like one are no special tokens
+        self._tokenizer.encode_special_tokens = True
         self._memo: dict[bytes, bytes] = {}
         self._last = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
         self._last[[i for token, i in self._tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -64,10 +68,25 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as uint32; none for a null."""
+        texts = [t or "" for t in texts]
+        if not any(map(self._cut.search, texts)):
+            return self._plain(texts)
+        parts = [self._cut.split(t) for t in texts]
+        ids = iter(self._plain([p for own in parts for p in own]))
+        out = []
+        for text, own in zip(texts, parts, strict=True):
+            found = [next(ids) for _ in own]
+            for k, name in enumerate(self._cut.findall(text)):
+                found.insert(2 * k + 1, self._special[name])
+            out.append(np.concatenate(found) if len(found) > 1 else found[0])
+        return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without special tokens."""
         memo = self._memo
         if len(memo) > self._most:
             memo.clear()
-        split = [t.encode().lower().split() if t else [] for t in texts]
+        split = [t.encode().lower().split() for t in texts]
         new = set().union(*split).difference(memo)
         if new:
             ends = {w: m.end(1) for w in new if (m := _MARKED.match(w))}

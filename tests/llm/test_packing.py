@@ -34,7 +34,6 @@ def test_combinations_take_every_piece_once():
 
 def test_ids_are_the_tokenizer_s(spark, sf):
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     texts += ["", "don't.", "it's!!", "é.,", "x²!", "1.5,", "l'été.", "ab\x1cc.", "İ.", "Ω.", "a<|endoftext|>b", "ÉCOLE!!  z"]
     assert [x.tolist() for x in WordTokenizer(tokenizer_path(), memo=50)(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
@@ -64,5 +63,11 @@ def test_packed_documents_come_back(spark, sf, odd):
             assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
 
 
+def test_special_tokens_written_out(docs_of):
+    ids = np.array([320, 49407, 321, 1], dtype="<u4")
+    (row,) = pack(docs_of([(1, "a<|endoftext|>b")])).collect()
+    assert (row.length, row.ids_crc32) == (4, zlib.crc32(ids.tobytes()))
+
+
 def test_empty(none):
     assert pack(none).collect() == []
