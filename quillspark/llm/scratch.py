@@ -17,6 +17,7 @@ from weakref import WeakKeyDictionary
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 #: Where each table that ``cut`` returned lies.
@@ -65,6 +66,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt_join(left: DataFrame, right: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and in ``n`` how many of ``left``'s ``total`` rows have it.
+
+    Keys of more than 1/``share`` of all rows, at most ``share`` of them, are broadcast, so no task gets all rows of a common key.
+    """
+    common = right.where(F.col("n") * share > total)
+    rare = left.join(F.broadcast(common.select(key)), key, "left_anti")
+    return left.join(F.broadcast(common), key).unionByName(rare.join(right, key))
+
+
+def numbered_copies(rows: DataFrame, many: str, number: str, keys: list[str], step: int = 1000) -> DataFrame:
+    """``rows`` as often as column ``many`` says, numbered from 0; first one for every ``step`` copies, then these, so no task makes all."""
+    chunks = rows.withColumn("_at", F.explode(F.expr(f"sequence(0L, ({many} - 1) div {step})"))).repartition(*keys, "_at")
+    return chunks.withColumn(number, F.explode(F.expr(f"sequence(_at * {step}, least({many}, (_at + 1) * {step}) - 1)"))).drop("_at", many)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that are finished."""
     import gc

@@ -23,15 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
-from .scratch import cut, drop, new_path, python_ready
+from .scratch import cut, drop, new_path, numbered_copies, python_ready
 
 #: Bytes of a bucket's records, about.
 BUCKET_BYTES = 32 << 20
 SHARDS, SEED = 8, 20_240_607
 #: A side of so many rows of two numbers is broadcast, no larger one.
 SMALL = 4_000_000
-#: Copies that one row stands for while they are made again, and buckets whose sizes one task sums up.
-COPIES, GROUP = 1000, 4096
+#: Buckets whose sizes one task sums up.
+GROUP = 4096
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -106,12 +106,6 @@ def shard_schema(docs: DataFrame) -> StructType:
     return StructType([*fields, StructField("_slot", LongType()), StructField("_shard", IntegerType())])
 
 
-def _copies(common: DataFrame) -> DataFrame:
-    """A row for each copy, numbered by _k, of rows with a count _n: first one for every COPIES copies, then these."""
-    chunks = common.withColumn("_at", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES})"))).repartition("_h", "_at")
-    return chunks.withColumn("_k", F.explode(F.expr(f"sequence(_at * {COPIES}, least(_n, (_at + 1) * {COPIES}) - 1)"))).drop("_at", "_n")
-
-
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Write ``docs``, all columns, as Parquet under ``path``/_shard=k, with each row's place in its shard as _slot.
 
@@ -136,13 +130,13 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     deal = lambda order: F.pmod(F.xxhash64(F.lit(seed + 1), order), F.lit(buckets)).cast("int")
     again = F.xxhash64("_h", "_k")
     rare = counted.where(F.col("_n") <= limit).select(deal(F.col("_h")).alias("_bucket"), "_n")
-    sizes = rare.unionByName(_copies(common).select(deal(again).alias("_bucket"), F.lit(1).cast("bigint").alias("_n"))).groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    sizes = rare.unionByName(numbered_copies(common, "_n", "_k", ["_h"]).select(deal(again).alias("_bucket"), F.lit(1).cast("bigint").alias("_n"))).groupBy("_bucket").agg(F.sum("_n").alias("_n"))
     starts = cut(_starts(sizes), "shard-starts")
     dealt = rows.withColumn("_order", F.col("_h"))
     if n_common:
         keys = F.broadcast(common) if n_common <= SMALL else common
         whole = rows.join(keys, ["_h", "_g"]).groupBy("_h", "_g").agg(F.first("_n").alias("_n"), F.first(F.struct(*names)).alias("_r"))
-        made = _copies(whole).select(*[F.col(f"_r.{c}").alias(c) for c in names], "_h", "_g", again.alias("_order"))
+        made = numbered_copies(whole, "_n", "_k", ["_h"]).select(*[F.col(f"_r.{c}").alias(c) for c in names], "_h", "_g", again.alias("_order"))
         dealt = dealt.join(keys, ["_h", "_g"], "left_anti").select(*names, "_h", "_g", "_order").unionByName(made)
     dealt = dealt.select(*names, "_order", deal(F.col("_order")).alias("_bucket"), F.lit(0).cast("bigint").alias("_place"))
     at = {c: dealt.columns.index(c) for c in ("_bucket", "_order", "_place")}
