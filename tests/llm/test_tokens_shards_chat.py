@@ -1,13 +1,15 @@
 import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, normalizers
 
-from quillspark.llm.chat import CONTROLS, digests, escape, examples, full_examples, op7_chat_formatting, parse, render, unescape
+from quillspark.llm.chat import _digests, _expand, CONTROLS, SEGMENT, digests, escape, examples, full_examples, op7_chat_formatting, parse, render, unescape
 from quillspark.llm.scratch import new_path
 from quillspark.llm.sharding import fisher_yates, op6_sharding, read_shards, shard_schema, write_shards
 from quillspark.llm.unigram import VOCABULARY, UnigramCounter, token_counts, vocabulary
@@ -141,9 +143,37 @@ def test_conversations_come_back(spark, sf):
 
 def test_examples_are_prefixes(spark):
     rows = [(1, 0, "system", "s", 0), (1, 1, "user", "q", 0), (1, 2, "assistant", "a", 0), (1, 3, "user", None, 0), (1, 4, "assistant", "b", 0), (1, 5, "user", "end", 0), (2, 0, "user", "alone", 0), (None, None, None, None, 0)]
-    stored = examples(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, example int"))
-    whole = sorted(full_examples(stored, [1]).collect(), key=lambda r: r.example)
-    assert [r.text[r.loss_start : r.loss_end] for r in whole[:2]] == ["a", "b"] and whole[2].loss_start is None
-    assert whole[1].text.startswith(whole[0].text) and [len(list(parse(r.text))) for r in whole] == [3, 5, 6]
-    assert {(r.conv_id, r.n_turns) for r in digests(stored).collect()} == {(1, 6), (2, 1), (None, 1)}
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, example int")
+    stored = examples(turns)
+    # an example has all of its context, and just its own reply is trained
+    assert sorted((r.conv_id or 0, r.example, r.n_turns, r.prefix_chars, [t for _, t, _, _ in parse(r.text)], r.text[r.loss_start : r.loss_end] if r.loss_start else None) for r in stored.collect()) == [
+        (0, 0, 1, 0, [""], None),
+        (1, 0, 3, 0, ["s", "q", "a"], "a"),
+        (1, 1, 5, 0, ["s", "q", "a", "", "b"], "b"),
+        (1, 2, 6, 0, ["s", "q", "a", "", "b", "end"], None),
+        (2, 0, 1, 0, ["alone"], None),
+    ]
+    for segment in (1, 30, 1 << 14):
+        cut = examples(turns, segment)
+        whole = sorted(full_examples(cut, [1]).where("loss_start IS NOT NULL").collect(), key=lambda r: r.example)
+        assert [r.text[r.loss_start : r.loss_end] for r in whole] == ["a", "b"] and [len(list(parse(r.text))) for r in whole] == [3, 5]
+        assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in digests(cut).collect()) == [(0, 1, 0), (1, 6, 2), (2, 1, 0)]
+        assert digests(cut).where("conv_id = 1").first().formatted_chars == max(len(r.text) for r in full_examples(cut, [1]).collect())
     assert examples(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).collect() == []
+
+
+def test_a_conversation_of_many_turns(spark):
+    """Half of the turns are one run without an assistant; time and memory stay linear in the turns."""
+    n = 64_000
+    rows = pa.record_batch([pa.array([1] * n), pa.array(["user"] * (n // 2) + ["user", "assistant"] * (n // 4)), pa.array([f"turn {i} </s>" for i in range(n)])], names=["conv_id", "role", "text"])
+    begun = time.process_time()
+    out = pa.Table.from_batches(_expand(SEGMENT)(rows.slice(k, 1000) for k in range(0, n, 1000)))
+    assert time.process_time() - begun < 10
+    assert max(map(len, out.column("text").to_pylist())) < SEGMENT + 100
+    rows_read = out.select(["conv_id", "prefix_chars", "text", "loss_start", "loss_end"]).to_batches()
+    (digest,) = pa.Table.from_batches(_digests(iter(rows_read))).to_pylist()
+    replies = "".join(f"turn {i} </s>" for i in range(n // 2 + 1, n, 2))
+    assert (digest["n_turns"], digest["loss_chars"], digest["loss_sha256"]) == (n, len(replies), hashlib.sha256(replies.encode()).hexdigest())
+    swapped = [out.select(["conv_id", "prefix_chars", "text", "loss_start", "loss_end"]).take([1, 0]).to_batches()[0]]
+    with pytest.raises(ValueError):
+        list(_digests(iter(swapped)))
