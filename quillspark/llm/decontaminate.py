@@ -6,11 +6,10 @@
 2. One pass over the documents finds every n-gram of the table.  Hits of a
    document and an item on neighbouring diagonals make a window: the words
    about them, wide enough for a whole copy.  A window needs ``SEEDS`` distinct
-   n-grams, one if the item has fewer than ``SHORT`` words.  How common an
-   n-gram is doesn't matter: a copy may have kept just the common ones.
+   n-grams, one if the item has fewer than ``SHORT`` words, and enough of the item's words for the
+   threshold.  How common an n-gram is doesn't matter: a copy may have kept just the common ones.
 3. Smith-Waterman over words (equal +2, other -1, gap -1) scores window against item;
-   the score over that of a whole copy is the similarity.  Windows with
-   too few of the item's words for the threshold are left out before.
+   the score over that of a whole copy is the similarity.
 """
 
 from __future__ import annotations
@@ -30,6 +29,8 @@ GRAM, SEEDS = 3, 2
 THRESHOLD = 0.6
 #: Copies at the threshold of items from this length on have at least ``SEEDS`` n-grams, whichever words were replaced.
 SHORT = 16
+#: Windows that one task aligns, about.
+ALIGNED = 200
 TABLE = 2_000_000
 EQUAL, OTHER, SPACE = 2, -1, -1
 
@@ -60,8 +61,9 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, at[0], at[1]
 
 
-def _windows(grams: np.ndarray, first: np.ndarray, items: np.ndarray, places: np.ndarray, lengths: dict[int, int], needs: dict[int, int]):
+def _windows(grams: np.ndarray, first: np.ndarray, items: np.ndarray, places: np.ndarray, item_words: dict[int, np.ndarray], needs: dict[int, int], threshold: float):
     """Windows of documents about hits; ``grams`` is sorted, ``first`` bounds each one's (item, place) entries."""
+    lengths = {name: len(w) for name, w in item_words.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +100,8 @@ def _windows(grams: np.ndarray, first: np.ndarray, items: np.ndarray, places: np
                     while a < end:
                         b = min(end, a + 4 * lengths[name] + 4 * wide)
                         here = np.unique(gram[lo:hi][(pos[lo:hi] >= a) & (pos[lo:hi] < b)])
-                        if len(here) >= needs[name]:
+                        # equal words are a bound for the score
+                        if len(here) >= needs[name] and np.isin(item_words[name], own[a:b]).sum() >= threshold * lengths[name]:
                             ids.append(batch.column(0)[i].as_py())
                             item_out.append(name)
                             starts.append(a)
@@ -118,9 +121,6 @@ def _scores(item_words: dict[int, np.ndarray], threshold: float):
             for i in range(batch.num_rows):
                 item, base = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 words, own = as_word(batch.column(3)[i].values.to_numpy()), item_words[item]
-                # equal words are a bound for the score
-                if EQUAL * int(np.isin(own, words).sum()) < threshold * EQUAL * len(own):
-                    continue
                 score, start, end = smith_waterman(words, own)
                 if score >= threshold * EQUAL * len(own):
                     out.append((batch.column(0)[i].as_py(), item, base + start, base + end, score, score / (EQUAL * len(own))))
@@ -140,11 +140,10 @@ def _part(docs: DataFrame, items: list[tuple[int, np.ndarray]], threshold: float
     order = np.argsort(flat, kind="stable")
     table, first = np.unique(flat[order], return_index=True)
     first = np.append(first, len(flat))
-    lengths = {i: len(w) for i, w in items}
     needs = {i: 1 if len(w) < SHORT else min(SEEDS, len(np.unique(g))) for (i, w), g in zip(items, grams, strict=True)}
-    # in a table of their own, so that windows of one file of documents are scored by many tasks
-    found = cut(docs.mapInArrow(_windows(table, first, who[order], place[order], lengths, needs), "doc_id bigint, item_id bigint, base bigint, words array<bigint>"), "leak-windows")
-    return found.repartition("doc_id", "item_id", "base").mapInArrow(_scores(dict(items), threshold), "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, score bigint, similarity double")
+    # in a table of their own, so that they are dealt to tasks by their number: the work is in the alignment, not in the bytes
+    found = cut(docs.mapInArrow(_windows(table, first, who[order], place[order], dict(items), needs, threshold), "doc_id bigint, item_id bigint, base bigint, words array<bigint>"), "leak-windows")
+    return found.repartition(-(-found.count() // ALIGNED) or 1, "doc_id", "item_id", "base").mapInArrow(_scores(dict(items), threshold), "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, score bigint, similarity double")
 
 
 def _items(benchmark: DataFrame) -> list[tuple[int, np.ndarray]]:
@@ -185,10 +184,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, without the documents that hold an item."""
+    """``docs``, all columns, without the documents that hold an item.
+
+    Rows with a null doc_id and null, empty and wordless texts stay; repeated rows stay or go together.  Nulls and the names of
+    other columns don't matter.
+    """
     held = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(held, docs["doc_id"] == held["_id"], "left_anti")
+    return docs.join(held, docs["doc_id"].cast("bigint") == held["_id"], "left_anti")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start_word, end_word, score, similarity of every document and benchmark item it holds."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -1,8 +1,9 @@
 import random
+import re
 
 import numpy as np
 
-from quillspark.llm.decontaminate import leaks, smith_waterman, without_leaks
+from quillspark.llm.decontaminate import leaks, op9_benchmark_decontamination, smith_waterman, without_leaks
 
 
 def plain(a, b):
@@ -60,4 +61,22 @@ def test_odd_rows(spark, odd, none):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     bench = spark.createDataFrame([(1, "the same line")], "item_id bigint, text string")
     assert leaks(odd, empty).collect() == [] and leaks(none, bench).collect() == []
-    assert leaks(odd, bench).count() <= 1 and without_leaks(none, bench).columns == none.columns
+    assert [(r.doc_id, r.item_id, r.start_word, r.end_word, r.similarity) for r in leaks(odd, bench).collect()] == [(9, 1, 0, 3, 1.0)]
+    assert without_leaks(none, bench).columns == none.columns and without_leaks(odd, bench).count() == 10
+
+
+def test_the_whole_query_finds_what_aligning_everything_finds(spark, sf):
+    """Every document against every item that shares enough of its words for the threshold."""
+    held = {}
+    split = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+    items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = split(d.text)
+        have = set(words)
+        for item, own in items.items():
+            if len(own) >= 3 and sum(w in have for w in own) >= 0.6 * len(own):
+                number = {w: i for i, w in enumerate({*words, *own})}
+                score = smith_waterman(np.array([number[w] for w in words]), np.array([number[w] for w in own]))[0]
+                if score >= 0.6 * 2 * len(own):
+                    held[d.doc_id, item] = score
+    assert held and {(r.doc_id, r.item_id): r.score for r in op9_benchmark_decontamination(spark, sf).collect()} == held
