@@ -72,13 +72,17 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, total: int, share: i
     Keys of more than 1/``share`` of all rows, at most ``share`` of them, are broadcast, so no task gets all rows of a common key.
     """
     common = right.where(F.col("n") * share > total)
+    if common.isEmpty():
+        return left.join(right, key)
     rare = left.join(F.broadcast(common.select(key)), key, "left_anti")
     return left.join(F.broadcast(common), key).unionByName(rare.join(right, key))
 
 
 def numbered_copies(rows: DataFrame, many: str, number: str, keys: list[str], step: int = 1000) -> DataFrame:
-    """``rows`` as often as column ``many`` says, numbered from 0; first one for every ``step`` copies, then these, so no task makes all."""
-    chunks = rows.withColumn("_at", F.explode(F.expr(f"sequence(0L, ({many} - 1) div {step})"))).repartition(*keys, "_at")
+    """``rows`` as often as column ``many`` says, numbered from 0; if that is more than ``step``, first one for every ``step`` copies, then these, so no task makes all."""
+    chunks = rows.withColumn("_at", F.explode(F.expr(f"sequence(0L, ({many} - 1) div {step})")))
+    if rows.where(F.col(many) > step).limit(1).count():
+        chunks = chunks.repartition(*keys, "_at")
     return chunks.withColumn(number, F.explode(F.expr(f"sequence(_at * {step}, least({many}, (_at + 1) * {step}) - 1)"))).drop("_at", many)
 
 
