@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import privacy, validators
 from ..operators import documents, fuzzy, tabular
 from ..sources import files, grid, providers
-from . import agent, safe_sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, with the SQL that must give the same rows."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return keep
-
+from . import agent, methods, safe_sql  # methods registers its own queries
+from .registry import ORACLE_SQL, QUERIES, query, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES", "methods"]
 
 
 @query(
