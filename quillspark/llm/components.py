@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, drop
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     edges = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u != v").select("u", "v").distinct(), name)
     state = None
     for _ in range(rounds):
-        edges = cut(_small_star(_large_star(edges)), name)
+        last, edges = edges, cut(_small_star(_large_star(edges)), name)
+        drop(last)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             roots = edges.select(F.col("v").alias("node")).distinct()

@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut, free_shuffles, python_ready
+from .scratch import cut, dealt_join, drop, python_ready
 from .wordkernel import Words, as_long, ragged, shingle_set
 
 SHINGLE, SKETCH, RUN = 5, 48, 3
-#: Added to the threshold for the estimate: over six standard deviations of 48 values at 0.85.
-MARGIN = 0.30
+#: Taken from the threshold for the estimate: a pair at 0.85 is lost with a chance of 1e-8, one at 0.80 with 1e-6.
+MARGIN = 0.35
 #: Members of a block at most, and values of a block about.
 BLOCK, BLOCK_VALUES = 512, 200_000
 
@@ -97,12 +97,14 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """Pairs that hold on full sets; ``ids`` gives a document for each class."""
+    """Pairs that hold on full sets, as a table; ``ids`` gives a document for each class."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     sets = cut(_sets_of(wanted, docs, ids), "near-sets")
     side = lambda c: sets.select(F.col("key").alias(c), F.col("values").alias(f"v{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("va", "vb")))
-    return both.where(f"100 * shared >= {percent} * (na + nb - shared)").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = cut(both.where(f"100 * shared >= {percent} * (na + nb - shared)").select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+    drop(sets)
+    return links
 
 
 def _incidence(left: list, right: list):
@@ -195,7 +197,7 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _rest(families: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """Links across components within families (centre, key), whatever a family's size.
+    """Links across components within families (centre, key), whatever a family's size, as a table.
 
     Two members of one list are members of its centre's family; what is linked
     with the centre itself is known already.
@@ -206,7 +208,9 @@ def _rest(families: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataF
     flagged = cut(_blocks(members, percent).mapInArrow(_flagged(percent), "centre binary, key binary").distinct(), "near-flagged")
     sets = cut(_sets_of(flagged.select("key").distinct(), docs, ids), "near-sets")
     members = known.join(flagged, ["centre", "key"]).join(sets.select("key", F.size("values").alias("n"), "values"), "key")
-    return _blocks(members, percent).select("members", "others").mapInArrow(_crossing(percent), "u binary, v binary").distinct()
+    links = cut(_blocks(members, percent).select("members", "others").mapInArrow(_crossing(percent), "u binary, v binary").distinct(), "near-more")
+    drop(flagged, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -223,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     python_ready(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(docs.mapInArrow(_sketches, "doc_id bigint, n_shingles bigint, key binary, sketch array<bigint>"), "near-sketches")
-    classes = cut(sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "near-classes")
+    classes = cut(sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "near-classes")
     ids = classes.where("rep IS NOT NULL").select("key", "rep")
 
     runs = _runs(classes, percent)
@@ -232,20 +236,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     fame = lists.groupBy("key").agg(F.sum("n").alias("fame"))
     centre = lists.join(fame, "key").groupBy("run").agg(F.max(F.struct("fame", "key")).alias("c")).select("run", F.col("c.key").alias("b"))
     families = cut(lists.select("run", "key").join(centre.withColumnRenamed("b", "centre"), "run").select("centre", "key").distinct(), "near-families")
+    drop(lists)
     stars = families.where("key != centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     tried = cut(_estimated(stars, classes, percent), "near-stars")
-    links = cut(_verified(tried, docs, ids, percent), "near-links")
-    free_shuffles(spark)
+    links = _verified(tried, docs, ids, percent)
+    drop(tried)
     roots = components(links, "near-components")
-    more = cut(_rest(families, roots, classes, docs, ids, percent), "near-more")
+    more = _rest(families, roots, classes, docs, ids, percent)
+    drop(families)
     if not more.isEmpty():
-        roots = components(links.unionByName(more), "near-components")
-    free_shuffles(spark)
+        # the components so far are as good as their links
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "near-components")
     named = roots.join(ids, roots["node"] == ids["key"]).groupBy("root").agg(F.min("rep").alias("component"))
     of_class = roots.join(named, "root").select(F.col("node").alias("key"), "component")
-    of_class = ids.join(of_class, "key", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(of_class, "key", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    of_class = cut(classes.select("key", "rep", "n").join(of_class, "key", "left").select("key", "n", F.coalesce("component", "rep").alias("component_id")), "near-named")
+    drop(links, more, classes)
+    empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    full = sets.where("n_shingles > 0").select("doc_id", "n_shingles", "key")
+    out = dealt_join(full, of_class, "key", sets.count()).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(empty)
     return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
 
@@ -261,4 +269,5 @@ def one_of_each_group(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document, linked at 85 percent."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -86,14 +86,6 @@ def numbered_copies(rows: DataFrame, many: str, number: str, keys: list[str], st
     return chunks.withColumn(number, F.explode(F.expr(f"sequence(_at * {step}, least({many}, (_at + 1) * {step}) - 1)"))).drop("_at", many)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that are finished."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def python_ready(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
     """Send this package's functions to Python workers by value, so that executors need no copy of it, and bound an Arrow batch: whole texts may be long, so its bytes are few."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
