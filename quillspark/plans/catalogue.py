@@ -8,30 +8,34 @@ from pyspark.sql import functions as F
 from ..functions import privacy, validators
 from ..operators import documents, fuzzy, tabular
 from ..sources import files, grid, providers
-from . import agent, methods, safe_sql  # methods registers its own queries
+from . import agent, methods, reports, safe_sql  # methods and reports register queries of their own
 from .registry import ORACLE_SQL, QUERIES, query, table
 
-__all__ = ["ORACLE_SQL", "QUERIES", "methods"]
+__all__ = ["ORACLE_SQL", "QUERIES", "methods", "reports"]
+
+
+_STOCK_SQL = """
+    e AS (SELECT l_orderkey, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2)))) AS DECIMAL(18,2)) AS x FROM lineitem GROUP BY 1),
+    s AS (SELECT o_orderkey AS product_id, CAST(0 AS DECIMAL(18,2)) AS opening_stock, x AS stock_in, CAST(0 AS DECIMAL(18,2)) AS units_sold, CAST(o_totalprice AS DECIMAL(18,2)) AS hand_in_stock FROM orders LEFT JOIN e ON o_orderkey = l_orderkey)"""
+
+
+def _stock(spark, sf_dir):
+    """Orders as stock records: what their lines bring in, and what is stated to be there."""
+    d = lambda c, k: F.col(c).cast(f"decimal({k},2)")
+    zero = F.lit(0).cast("decimal(18,2)")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(d("l_extendedprice", 18) * (1 - d("l_discount", 4)) * (1 + d("l_tax", 4))).cast("decimal(18,2)").alias("x"))
+    both = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return both.select(F.col("o_orderkey").alias("product_id"), F.col("o_orderpriority").alias("product_name"), zero.alias("opening_stock"), F.col("x").alias("stock_in"), zero.alias("units_sold"), d("o_totalprice", 18).alias("hand_in_stock"), d("o_totalprice", 18).alias("cost_price_total_usd"))
 
 
 @query(
     "a2_order_total_reconcile",
-    """
-    WITH e AS (
-      SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2)))) AS DECIMAL(18,2)) AS expected
-      FROM lineitem GROUP BY l_orderkey)
-    SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS stated, expected, CAST(o_totalprice AS DECIMAL(18,2)) - expected AS difference
-    FROM orders LEFT JOIN e ON o_orderkey = l_orderkey
-    WHERE coalesce(CAST(o_totalprice AS DECIMAL(18,2)) <> expected, true)
-    """,
+    f"WITH {_STOCK_SQL} SELECT product_id AS o_orderkey, hand_in_stock AS stated, stock_in AS expected, hand_in_stock - stock_in AS difference FROM s WHERE coalesce(hand_in_stock <> stock_in, true)",
 )
 def a2_order_total_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose stated total differs from the one recomputed from their lines, or has no lines."""
-    d = lambda c, k: F.col(c).cast(f"decimal({k},2)")
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(d("l_extendedprice", 18) * (1 - d("l_discount", 4)) * (1 + d("l_tax", 4))).cast("decimal(18,2)").alias("expected"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", d("o_totalprice", 18).alias("stated"))
-    both = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return both.where(F.coalesce(F.col("stated") != F.col("expected"), F.lit(True))).select("o_orderkey", "stated", "expected", (F.col("stated") - F.col("expected")).cast("decimal(19,2)").alias("difference"))
+    out = tabular.stock_consistency(_stock(spark, sf_dir))
+    return out.select(F.col("product_id").alias("o_orderkey"), F.col("hand_in_stock").alias("stated"), F.col("expected_hand_in_stock").cast("decimal(18,2)").alias("expected"), F.col("difference").cast("decimal(19,2)").alias("difference"))
 
 
 def money(c: str, digits: int = 18):
@@ -40,17 +44,11 @@ def money(c: str, digits: int = 18):
 
 @query(
     "a1_table_profile",
-    """
-    WITH e AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2)))) AS DECIMAL(18,2)) AS x FROM lineitem GROUP BY 1)
-    SELECT count(*) AS n_rows, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DECIMAL(28,2)) AS total_value,
-           count(*) FILTER (WHERE coalesce(CAST(o_totalprice AS DECIMAL(18,2)) <> x, true)) AS n_inconsistent
-    FROM orders LEFT JOIN e ON o_orderkey = l_orderkey
-    """,
+    f"WITH {_STOCK_SQL} SELECT count(*) AS n_rows, CAST(coalesce(sum(hand_in_stock), 0) AS DECIMAL(28,2)) AS total_stock, CAST(coalesce(sum(hand_in_stock), 0) AS DECIMAL(28,2)) AS total_value, count(*) FILTER (WHERE coalesce(hand_in_stock <> stock_in, true)) AS n_inconsistent FROM s",
 )
 def a1_table_profile(spark, sf_dir):
-    bad = a2_order_total_reconcile(spark, sf_dir).agg(F.count("*").alias("n_inconsistent"))
-    rows = table(spark, sf_dir, "orders").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(money("o_totalprice")), F.lit(0)).cast("decimal(28,2)").alias("total_value"))
-    return rows.crossJoin(bad)
+    out = tabular.profile(_stock(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("decimal(28,2)") for c in ("total_stock", "total_value")})
 
 
 @query("a3_nunique", "SELECT count(DISTINCT o_custkey) AS n_customers FROM orders")
@@ -186,8 +184,8 @@ def f13_regex_filter(spark, sf_dir):
 _J = {
     "inner": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "left": "SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey",
-    "right": "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) RIGHT JOIN supplier ON c_custkey = s_suppkey",
-    "outer": "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN supplier ON c_custkey = s_suppkey",
+    "right": "SELECT c_custkey, s_suppkey FROM customer RIGHT JOIN supplier ON c_custkey = 2 * s_suppkey",
+    "outer": "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey + 5",
     "cross": "SELECT n_name, r_name FROM nation CROSS JOIN region",
     "nullsafe": "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey END AS k FROM customer) JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey END AS j FROM supplier) ON k IS NOT DISTINCT FROM j",
 }
@@ -203,18 +201,16 @@ def j1_merge_left(spark, sf_dir):
     return tabular.merge(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_custkey", "s_suppkey", "left").select("c_custkey", "s_suppkey")
 
 
-def _even_customers(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
-
-
 @query("j1_merge_right", _J["right"])
 def j1_merge_right(spark, sf_dir):
-    return tabular.merge(_even_customers(spark, sf_dir), table(spark, sf_dir, "supplier"), "c_custkey", "s_suppkey", "right").select("c_custkey", "s_suppkey")
+    right = table(spark, sf_dir, "supplier").withColumn("k", 2 * F.col("s_suppkey"))
+    return tabular.merge(table(spark, sf_dir, "customer"), right, "c_custkey", "k", "right").select("c_custkey", "s_suppkey")
 
 
 @query("j1_merge_outer", _J["outer"])
 def j1_merge_outer(spark, sf_dir):
-    return tabular.merge(_even_customers(spark, sf_dir), table(spark, sf_dir, "supplier"), "c_custkey", "s_suppkey", "outer").select("c_custkey", "s_suppkey")
+    right = table(spark, sf_dir, "supplier").withColumn("k", 5 + F.col("s_suppkey"))
+    return tabular.merge(table(spark, sf_dir, "customer"), right, "c_custkey", "k", "outer").select("c_custkey", "s_suppkey")
 
 
 @query("j1_merge_cross", _J["cross"])
@@ -277,35 +273,12 @@ def _any_word(text, words):
 
 @query(
     "p22_class_score",
-    """SELECT doc_id, CAST(round(600 * least(1.0, length(text) / 4000.0) + 400 * CASE WHEN lang IS NULL THEN 0.5 WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS BIGINT) AS score_thousandths FROM documents""",
+    """WITH d AS (SELECT doc_id, 0.6 * least(1.0, CAST(n_chars AS DOUBLE) / 3989.3) + 0.4 * CASE WHEN lang IS NULL THEN 0.5 WHEN lang = 'en' THEN 1.0 ELSE 0.0 END AS s FROM documents)
+       SELECT doc_id, round(s, 3) AS confidence, round(s, 3) < 0.85 AS review_required FROM d""",
 )
 def p22_class_score(spark, sf_dir):
-    score = documents.classification_score(F.length("text") / F.lit(4000.0), F.lit("en"), F.col("lang"))
-    model = F.least(F.lit(1.0), F.length("text") / F.lit(4000.0))
-    agree = F.when(F.col("lang").isNull(), 0.5).when(F.col("lang") == "en", 1.0).otherwise(0.0)
-    return table(spark, sf_dir, "documents").withColumn("_s", score).select("doc_id", F.round(600 * model + 400 * agree).cast("bigint").alias("score_thousandths"))
-
-
-@query(
-    "j6_group_theta_hint",
-    """
-    WITH d AS (SELECT d.doc_id, d.source, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)),
-         sure AS (SELECT DISTINCT lang, source, doc_id FROM d WHERE quality = 1),
-         flagged AS (SELECT doc_id, lang, source FROM d WHERE quality = 0),
-         pairs AS (SELECT DISTINCT f.doc_id, s.source FROM flagged f JOIN sure s ON f.lang = s.lang AND f.source <> s.source),
-         ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY source) AS n FROM pairs)
-    SELECT doc_id, string_agg(source, ',' ORDER BY source) AS hints FROM ranked WHERE n <= 2 GROUP BY 1
-    """,
-)
-def j6_group_theta_hint(spark, sf_dir):
-    """Of every flagged document the first two other sources with a sure document of its language; three sources of a language are enough to know."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
-    sure = rows.where("quality = 1").select("lang", "source").distinct()
-    least = sure.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("source"))).where("n <= 3")
-    known = least.groupBy("lang").agg(F.sort_array(F.collect_list("source")).alias("known"))
-    out = rows.where("quality = 0").join(F.broadcast(known), "lang")
-    hints = F.slice(F.filter("known", lambda s: s != F.col("source")), 1, 2)
-    return out.select("doc_id", F.array_join(hints, ",").alias("hints")).where("hints <> ''")
+    score = documents.classification_score(F.col("n_chars") / F.lit(3989.3), F.lit("en"), F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", score.alias("s")).select("doc_id", "s.confidence", "s.review_required")
 
 
 @query("u1_concat", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
@@ -314,9 +287,9 @@ def u1_concat(spark, sf_dir):
     return tabular.concat(c, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
-@query("u4_except", "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@query("u4_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT s_suppkey FROM supplier")
 def u4_except(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).distinct().exceptAll(table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("nation")).distinct())
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).distinct().exceptAll(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).distinct())
 
 
 @query("u5_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -692,16 +665,6 @@ def p27_needs_review(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where(documents.badge(F.col("l_discount") * 10, 0.5) != "green").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
 
 
-@query(
-    "p34_date_order",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(l_shipdate <= o_orderdate, false) AS conflict, CASE WHEN l_shipdate <= o_orderdate THEN 0.6 ELSE 0.9 END AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-)
-def p34_date_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    bad = F.coalesce(F.col("l_shipdate") <= F.col("o_orderdate"), F.lit(False))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", bad.alias("conflict"), F.when(bad, F.least(F.lit(0.9), F.lit(0.6))).otherwise(0.9).alias("confidence"))
-
-
 _ACTION_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(reason), '{w}')" for w in words) + f" THEN '{a}'" for words, a in documents.ACTIONS) + " ELSE 'Visually verify ''' || o_orderpriority || ''' against the source image and approve or correct it.' END"
 _REASONS = ("independent reads disagree", "value not found", "validation: MRZ checksum", "validation: format", "normalisation: position 1", "classifier below threshold", "confidence 0.70 below threshold", "unsupported type")
 
@@ -776,12 +739,22 @@ def p21_sanitise_groups(spark, sf_dir):
     return out.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
 
 
-@query("p28_ocr_support")
+@query(
+    "p28_ocr_support",
+    r"""WITH d AS (SELECT doc_id, upper(regexp_replace(text, '[\s.,]', '', 'g')) AS have, upper(regexp_replace(lang || ' ' || source, '[\s.,]', '', 'g')) AS want FROM documents)
+        SELECT doc_id, CASE WHEN have IS NULL OR have = '' THEN NULL ELSE 1.0 END AS support FROM d""",
+)
 def p28_ocr_support(spark, sf_dir):
-    """How far the first words of each benchmark item are supported by documents of the same number."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 24).alias("key"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(items), docs["doc_id"] == items["item_id"]).select("doc_id", fuzzy.ocr_support(F.col("key"), F.substring("text", 1, 400)).alias("support"))
+    """Whether each document's whole text, after which its language and source are written, supports these: texts that hold the value are settled in the JVM."""
+    key = F.concat_ws(" ", "lang", "source")
+    text = F.when(F.coalesce(F.regexp_replace("text", r"[\s.,]", ""), F.lit("")) != "", F.concat("text", F.lit(" "), key))
+    return table(spark, sf_dir, "documents").select("doc_id", fuzzy.ocr_support(key, text).alias("support"))
+
+
+@query("p28_best_window")
+def p28_best_window(spark, sf_dir):
+    """How far each product's name is supported by its brand and type: short texts, none of which holds it."""
+    return table(spark, sf_dir, "part").select("p_partkey", fuzzy.ocr_support(F.col("p_name"), F.concat("p_brand", "p_type", F.lit(" "), "p_name", F.lit("x")).substr(F.lit(1), F.length("p_name") + F.lit(20))).alias("support"))
 
 
 @query("p30_anchor_region", "SELECT p_partkey, p_size - 12 AS x0, p_size * 2 - 21 AS y0, least(1000, p_size + 10 + 450) AS x1, p_size * 2 + 5 + 21 AS y1 FROM part")
@@ -791,11 +764,9 @@ def p30_anchor_region(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fuzzy.anchor_region(box, F.lit("right"), F.lit(1000), F.lit(1400)).alias("r")).select("p_partkey", "r.*")
 
 
-@query("p41_page_quality", "SELECT p_partkey, CAST(round(1000 * (0.45 * least(1.0, p_size * 10 / 300.0) + 0.30 * least(1.0, p_size / 60.0) + 0.25 * least(1.0, p_retailprice / 1000.0))) AS BIGINT) AS quality FROM part")
+@query("p41_page_quality", "SELECT p_partkey, round(0.45 * least(1.0, (p_size * 9.7 + 0.31) / 300.0) + 0.30 * least(1.0, (p_size + 0.3) / 60.0) + 0.25 * least(1.0, p_retailprice / 1003.7), 3) AS quality FROM part")
 def p41_page_quality(spark, sf_dir):
-    q = documents.page_quality(F.col("p_size") * 10, F.col("p_size").cast("double"), F.col("p_retailprice"))
-    part = 0.45 * F.least(F.lit(1.0), F.col("p_size") * 10 / 300.0) + 0.30 * F.least(F.lit(1.0), F.col("p_size") / 60.0) + 0.25 * F.least(F.lit(1.0), F.col("p_retailprice") / 1000.0)
-    return table(spark, sf_dir, "part").where(F.abs(q - part) < 0.001).select("p_partkey", F.round(1000 * part).cast("bigint").alias("quality"))
+    return table(spark, sf_dir, "part").select("p_partkey", documents.page_quality(F.col("p_size") * 9.7 + 0.31, F.col("p_size") + 0.3, F.col("p_retailprice") * (1000 / 1003.7)).alias("quality"))
 
 
 def _grid(spark):

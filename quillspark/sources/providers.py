@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import json
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.privacy import scrub_pii
+
+# sent to workers by value, so that executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Planner(Protocol):
     def plan(self, question: str, history: str, schema: str) -> dict[str, Any]: ...
@@ -18,6 +27,88 @@ class SearchProvider(Protocol):
     def search(self, query: str) -> dict[str, Any]: ...
 
 
+class PageMaker(Protocol):
+    """A file's pages as images."""
+
+    def pages(self, name: str, content: bytes) -> list[bytes]: ...
+
+
+class WordReader(Protocol):
+    """The words of a page: (text, left, top, width, height, block, par, line)."""
+
+    def words(self, image: bytes) -> list[tuple[str, int, int, int, int, int, int, int]]: ...
+
+
+class CropReader(Protocol):
+    """The text of a part of a page; ``zone`` for the machine readable one."""
+
+    def text(self, image: bytes, zone: bool) -> str: ...
+
+
+class Classifier(Protocol):
+    """Groups of a file's pages: {pages, document_type, confidence, evidence}."""
+
+    def groups(self, images: list[bytes]) -> list[dict[str, Any]]: ...
+
+
+def file_pages(files: DataFrame, maker: PageMaker) -> DataFrame:
+    """sha1, page_no, image, error of the files (sha1, name, content): a file that can't be opened, or has no page, is one row with an error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for sha1, name, content in zip(frame["sha1"], frame["name"], frame["content"], strict=True):
+                try:
+                    images, error = maker.pages(name, bytes(content)), "the file has no pages"
+                except Exception as wrong:  # whatever a decoder raises is that file's error, not the batch's
+                    images, error = [], f"could not open the file: {wrong}"
+                out += [(sha1, k, image, None) for k, image in enumerate(images, 1)] or [(sha1, None, None, error)]
+            yield pd.DataFrame(out, columns=["sha1", "page_no", "image", "error"]).astype({"page_no": "Int32"})
+
+    return files.select("sha1", "name", "content").mapInPandas(run, "sha1 string, page_no int, image binary, error string")
+
+
+def page_words(pages: DataFrame, reader: WordReader) -> DataFrame:
+    """sha1, page_no, text, left, top, width, height, block, par, line: a row for each word that isn't blank."""
+    names = ["text", "left", "top", "width", "height", "block", "par", "line"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(sha1, page, *w) for sha1, page, image in zip(frame["sha1"], frame["page_no"], frame["image"], strict=True) for w in reader.words(bytes(image)) if w[0].strip()]
+            yield pd.DataFrame(out, columns=["sha1", "page_no", *names])
+
+    return pages.where("image IS NOT NULL").select("sha1", "page_no", "image").mapInPandas(run, "sha1 string, page_no int, text string, " + ", ".join(f"{n} int" for n in names[1:]))
+
+
+def crop_texts(crops: DataFrame, reader: CropReader) -> DataFrame:
+    """document_id, field, text of the crops (document_id, field, validator, image)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            text = [reader.text(bytes(i), v == "mrz2") for i, v in zip(frame["image"], frame["validator"], strict=True)]
+            yield pd.DataFrame({"document_id": frame["document_id"], "field": frame["field"], "text": text})
+
+    return crops.where("image IS NOT NULL").select("document_id", "field", "validator", "image").mapInPandas(run, "document_id string, field string, text string")
+
+
+def classifier_groups(pages: DataFrame, classifier: Classifier) -> DataFrame:
+    """sha1, group_pos, pages, document_type, confidence, evidence of every file; confidence within 0 and 1, evidence at most 200 characters.
+
+    A file's pages are gathered in order, as one row: a file is a bounded group.
+    """
+    files = pages.where("image IS NOT NULL").groupBy("sha1").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "image"))), lambda x: x["image"]).alias("images"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for sha1, images in zip(frame["sha1"], frame["images"], strict=True):
+                for k, g in enumerate(classifier.groups([bytes(i) for i in images])):
+                    out.append((sha1, k, list(g["pages"]), g["document_type"], max(0.0, min(1.0, float(g["confidence"]))), str(g.get("evidence", ""))[:200]))
+            yield pd.DataFrame(out, columns=["sha1", "group_pos", "pages", "document_type", "confidence", "evidence"])
+
+    return files.mapInPandas(run, "sha1 string, group_pos int, pages array<int>, document_type string, confidence double, evidence string")
+
+
 @dataclass
 class ScriptedProvider:
     """Answers in the order given; keeps what it was asked."""
@@ -93,6 +184,34 @@ def http_sources(sources: Column, most: int = 5, snippet: int = 300) -> Column:
     return F.slice(F.transform(held, lambda s: F.struct(s["title"].alias("title"), s["url"].alias("url"), F.substring(s["snippet"], 1, snippet).alias("snippet"))), 1, most)
 
 
+def safe_queries(queries: Column) -> Column:
+    """struct(query, error): a query without identifiers and outer spaces; an error if nothing is left of it."""
+    clean = F.trim(scrub_pii(queries))
+    empty = F.coalesce(clean, F.lit("")) == ""
+    return F.struct(F.when(~empty, clean).alias("query"), F.when(empty, "The search query was empty after removing sensitive values.").alias("error"))
+
+
+def safe_answers(queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """query, asked, sources, error: what was asked of a provider for each query (query, text), and its sources (asked, sources) with a web address."""
+    asked = queries.select("query", safe_queries(F.col("text")).alias("s")).select("query", F.col("s.query").alias("asked"), "s.error")
+    return asked.join(answers, "asked", "left").select("query", "asked", F.filter("sources", lambda x: x["url"].rlike("^https?://")).alias("sources"), "error")
+
+
+def nullable_types(schema: Any) -> Any:
+    """A JSON schema for a provider that has no unions: of a type and null the type, marked nullable; nothing about additional properties."""
+    if isinstance(schema, list):
+        return [nullable_types(x) for x in schema]
+    if not isinstance(schema, dict):
+        return schema
+    out = {k: nullable_types(v) for k, v in schema.items() if k != "additionalProperties"}
+    kinds = schema.get("type")
+    if isinstance(kinds, list):
+        out["type"] = next((k for k in kinds if k != "null"), "string")
+        if "null" in kinds:
+            out["nullable"] = True
+    return out
+
+
 def cited_first(sources: Column) -> Column:
     """Sources with a snippet before those without, otherwise as they came."""
     return F.concat(F.filter(sources, lambda s: s["snippet"] != ""), F.filter(sources, lambda s: F.coalesce(s["snippet"], F.lit("")) == ""))
