@@ -45,27 +45,27 @@ def header_row(grid: DataFrame) -> int | None:
     return found.agg(F.min("row_idx")).first()[0]
 
 
-def clean_label(raw: str) -> str:
-    text = re.sub(r"/\s+", "/", re.sub(r"-\s+", "-", raw.replace("\n", " ")))
-    return re.sub(r"\s+", " ", text).strip()
+def clean_label(raw: Column) -> Column:
+    """One line, single spaces, and none behind a hyphen or a slash."""
+    return F.trim(F.regexp_replace(F.regexp_replace(raw, r"([-/])\s+", "$1"), r"\s+", " "))
 
 
-def column_name(raw: str) -> str:
-    label = clean_label(raw).lower()
-    if label in CANONICAL:
-        return CANONICAL[label]
-    return re.sub(r"[^a-z0-9]+", "_", re.sub(r"\(([^)]*)\)", r" \1", label)).strip("_") or "column"
+def column_name(label: Column) -> Column:
+    """The known name of a clean label, else its letters and digits with underscores between; ``column`` if it has none."""
+    low = F.lower(label)
+    known = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
+    # what stands in brackets is a word behind a space
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"\(([^)]*)\)", " $1"), "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.coalesce(F.try_element_at(known, low), F.when(plain != "", plain), F.lit("column"))
 
 
-def column_names(headers: list[str | None]) -> list[tuple[str, str]]:
+def column_names(spark: SparkSession, headers: list[str | None]) -> list[tuple[str, str]]:
     """(name, original) of each header; a blank one is ``unnamed``, the second of a name ends in _2, and so on."""
-    seen: dict[str, int] = {}
-    out = []
-    for raw in headers:
-        name = "unnamed" if raw is None or not str(raw).strip() else column_name(str(raw))
-        seen[name] = seen.get(name, 0) + 1
-        out.append((name if seen[name] == 1 else f"{name}_{seen[name]}", clean_label(str(raw)) if raw is not None else ""))
-    return out
+    rows = spark.createDataFrame(list(enumerate(headers)), "pos int, raw string").withColumn("label", F.coalesce(clean_label(F.col("raw")), F.lit("")))
+    named = rows.withColumn("name", F.when(F.col("label") == "", "unnamed").otherwise(column_name(F.col("label"))))
+    again = F.row_number().over(Window.partitionBy("name").orderBy("pos"))
+    shown = named.withColumn("n", again).withColumn("name", F.when(F.col("n") > 1, F.concat_ws("_", "name", "n")).otherwise(F.col("name")))
+    return [(r["name"], r["label"]) for r in shown.orderBy("pos").collect()]  # as many rows as the sheet has columns
 
 
 def infer_types(rows: DataFrame) -> dict[str, str]:
@@ -91,13 +91,15 @@ def load_grid(grid: DataFrame) -> DataFrame:
     full = grid.agg(*[F.count(blank(i)).alias(str(i)) for i in range(width)]).first()
     kept = [i for i in range(width) if full[str(i)]]
     titles = grid.where(F.col("row_idx") == head).select(*[F.get("cells", F.lit(i)).alias(str(i)) for i in kept]).first()
-    names = column_names(list(titles))
+    names = column_names(grid.sparkSession, list(titles))
     value = lambda i: F.when(F.get("cell_kind", F.lit(i)) == "bool", F.when(F.lower(blank(i)) == "true", "1").otherwise("0")).otherwise(blank(i))
     body = grid.where(F.col("row_idx") > head).select("row_idx", *[value(i).alias(n) for i, (n, _) in zip(kept, names, strict=True)])
     columns = [n for n, _ in names]
     body = body.where(F.coalesce(*[F.col(f"`{c}`") for c in columns]).isNotNull())
     kinds = infer_types(body.select(*[F.col(f"`{c}`") for c in columns]))
-    cast = lambda c: F.col(f"`{c}`").try_cast("double").cast("bigint") if kinds[c] == "bigint" else F.col(f"`{c}`").try_cast(kinds[c]) if kinds[c] == "double" else F.col(f"`{c}`")
+    # a whole number is read as such; only one written with a point or an exponent goes through a double
+    whole = lambda c: F.coalesce(F.trim(c).try_cast("decimal(38,0)").try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
+    cast = lambda c: F.when(F.trim(F.col(f"`{c}`")).rlike("^[+-]?[0-9]+$"), whole(F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`").try_cast("double").try_cast("bigint")) if kinds[c] == "bigint" else F.col(f"`{c}`").try_cast(kinds[c]) if kinds[c] == "double" else F.col(f"`{c}`")
     return body.orderBy("row_idx").select(*[cast(n).alias(n, metadata={"original": original}) for n, original in names])
 
 

@@ -21,7 +21,7 @@ def test_grid(spark):
     assert df.dtypes == [("product_id", "string"), ("hand_in_stock", "bigint"), ("weird_header_kg", "double"), ("weird_header_kg_2", "string")]
     assert [tuple(r) for r in df.collect()] == [("P1", 5, 1.5, None), ("P2", None, 2.0, None)]
     assert df.schema["hand_in_stock"].metadata["original"] == "Hand-In-Stock"
-    assert [n for n, _ in grid.column_names(["A b", "a-B", None, "(x)"])] == ["a_b", "a_b_2", "unnamed", "x"]
+    assert [n for n, _ in grid.column_names(spark, ["A b", "a-B", None, "(x)"])] == ["a_b", "a_b_2", "unnamed", "x"]
     with pytest.raises(ValueError, match="header"):
         grid.load_grid(sheet(spark, [["title", None], [None, None]]))
 
@@ -31,6 +31,18 @@ def test_text_with_commas_stays_text_and_booleans_are_numbers(spark):
     assert grid.load_grid(spark.createDataFrame(rows, GRID)).dtypes == [("a", "string"), ("b", "bigint"), ("c", "bigint")]
 
 
+def test_whole_numbers_beyond_a_double(spark):
+    rows = [["Product ID", "Name", "Units"], ["9007199254740993", "9223372036854775807", "1e3"], ["-9007199254740993", "2", "7."]]
+    df = grid.load_grid(spark.createDataFrame([(0, rows[0], ["text"] * 3), *[(i, r, ["number"] * 3) for i, r in enumerate(rows[1:], 1)]], GRID))
+    assert [t for _, t in df.dtypes] == ["bigint"] * 3
+    assert [tuple(r) for r in df.collect()] == [(9007199254740993, 9223372036854775807, 1000), (-9007199254740993, 2, 7)]
+
+
+def test_header_names(spark):
+    want = [("hand_in_stock", "Hand-In-Stock"), ("purchase_stock_in_n", "Purchase/Stock in (n)"), ("column", "--"), ("stock_in", "Purchase/Stock in"), ("a_xb", "a(x)b"), ("unnamed", ""), ("unnamed_2", "")]
+    assert grid.column_names(spark, ["Hand-\nIn- Stock", "Purchase/ Stock   in (n)", "--", "Purchase/\nStock in", "a(x)b", " ", None]) == want
+
+
 def test_workbook(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     cells = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Units</t></is></c><c r="C1" t="str"><v>Flag</v></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2"><v>4</v></c><c r="C2"><v>2</v></c></row>'
@@ -162,3 +174,25 @@ def test_streamed_history(spark, tmp_path):
     q.stop()
     got = {r.turn: r.history for r in spark.table("kept").collect()}
     assert got[0] == "" and got[13].splitlines()[0] == "assistant: t3" and len(got[13].splitlines()) == 10
+
+
+def test_settings():
+    from quillspark.sources.settings import search_provider, settings
+
+    plain = settings({})
+    assert (plain.provider, plain.threshold, plain.crop_reads, plain.pdf_dpi, plain.fallback_models) == ("anthropic", 0.85, "per_field", 200, ())
+    own = settings({"LLM_PROVIDER": " Gemini ", "REVIEW_THRESHOLD": "1", "LLM_FALLBACK_MODELS": "a, b,", "GEMINI_API_KEY": "k"})
+    assert own.provider == "gemini" and own.fallback_models == ("a", "b") and own.keys_present["gemini"] and not own.keys_present["tavily"]
+    for name, bad in (("LLM_PROVIDER", "x"), ("REVIEW_THRESHOLD", "0"), ("REVIEW_THRESHOLD", "1.5"), ("LLM_TIMEOUT_SECONDS", "0"), ("CROP_READS", "all"), ("PDF_DPI", "many")):
+        with pytest.raises(ValueError, match=name):
+            settings({name: bad})
+    made = {n: (lambda n=n: n) for n in ("tavily", "llm", "duckduckgo")}
+    assert search_provider("auto", made) == ["duckduckgo"] and search_provider("", made, "gemini") == ["llm", "duckduckgo"]
+    assert search_provider("auto", made, "gemini", tavily=True) == ["tavily"] and search_provider("LLM", made, "openai") == ["llm"]
+    with pytest.raises(ValueError):
+        search_provider("llm", made)
+
+
+def test_nullable_types():
+    schema = {"type": "object", "additionalProperties": False, "properties": {"a": {"type": ["string", "null"]}, "b": {"type": "array", "items": {"type": ["null"]}}}}
+    assert providers.nullable_types(schema) == {"type": "object", "properties": {"a": {"type": "string", "nullable": True}, "b": {"type": "array", "items": {"type": "string", "nullable": True}}}}
