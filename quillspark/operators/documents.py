@@ -7,6 +7,10 @@ window or a CASE.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,26 +32,32 @@ CAPS = (
 HINT_GROUPS = {"application_number": "application/policy number", "policy_number": "application/policy number", "place": "place", "place_of_birth": "place"}
 
 
-def keyword_pattern(keyword: Column) -> Column:
+def keyword_pattern(keyword: str) -> str:
     """A whole word or phrase: no letter or digit on either side."""
-    quoted = F.regexp_replace(keyword, r"([\\^$.|?*+()\[\]{}/-])", r"\\$1")
-    return F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))
+    return f"(?<![a-z0-9]){re.escape(keyword)}(?![a-z0-9])"
+
+
+def has_keyword(lowered: Column, keyword: str) -> Column:
+    """Whether a lower-case text has a keyword; the pattern is tried only where its letters stand."""
+    return F.contains(lowered, F.lit(keyword)) & F.regexp_like(lowered, F.lit(keyword_pattern(keyword)))
 
 
 def keyword_vote(texts: DataFrame, keywords: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, best_type, best, runner_up, vote): the type of most distinct keywords, if two at least and strictly ahead.
 
-    ``keywords`` (type, keyword) is a catalogue of tens of rows and rides along as one array; texts aren't
-    joined with it row by row.
+    ``keywords`` (type, keyword) is a catalogue of tens of rows; each becomes a literal pattern, so texts are
+    neither joined with it nor is a pattern compiled for a row.
     """
-    listed = keywords.distinct().groupBy("type").agg(F.sort_array(F.collect_set("keyword")).alias("words")).agg(F.sort_array(F.collect_list(F.struct("type", "words"))).alias("catalogue"))
-    lowered = F.lower("text")
-    scores = F.transform("catalogue", lambda t: F.struct(F.size(F.filter(t["words"], lambda w: F.regexp_like(lowered, keyword_pattern(w)))).alias("n"), t["type"].alias("type")))
-    scored = texts.join(F.broadcast(listed), F.lit(True)).select(key, scores.alias("scores"))
-    ranked = scored.select(key, F.array_sort("scores", lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["type"] < b["type"], -1).otherwise(1)).alias("s"))
+    listed: dict[str, list[str]] = {}
+    for r in keywords.distinct().orderBy("type", "keyword").collect():
+        listed.setdefault(r["type"], []).append(r["keyword"])
+    lowered = texts.select(key, F.lower("text").alias("_low"))
+    count = lambda words: reduce(add, [F.coalesce(has_keyword(F.col("_low"), w).cast("int"), F.lit(0)) for w in words])
+    scored = lowered.select(key, F.array(*[F.struct((-count(words)).alias("n"), F.lit(t).alias("type")) for t, words in listed.items()]).alias("s"))
+    ranked = scored.select(key, F.array_sort("s").alias("s"))
     best, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    runner = F.coalesce(second["n"], F.lit(0))
-    return ranked.select(key, best["type"].alias("best_type"), best["n"].alias("best"), runner.alias("runner_up"), F.when((best["n"] >= 2) & (best["n"] > runner), best["type"]).alias("vote"))
+    n, runner = -best["n"], F.coalesce(-second["n"], F.lit(0))
+    return ranked.select(key, best["type"].alias("best_type"), n.alias("best"), runner.alias("runner_up"), F.when((n >= 2) & (n > runner), best["type"]).alias("vote"))
 
 
 def sanitise_groups(groups: DataFrame, pages: DataFrame) -> DataFrame:

@@ -105,7 +105,9 @@ def a7_pivot(spark, sf_dir):
 )
 def a8_quantiles_std(spark, sf_dir):
     r = lambda c: F.round(c, 4)
-    return table(spark, sf_dir, "lineitem").agg(r(F.median("l_quantity")).alias("median_qty"), r(F.percentile("l_extendedprice", 0.9)).alias("p90"), r(F.stddev_pop("l_quantity")).alias("std_pop"), r(F.stddev_samp("l_quantity")).alias("std_samp"), r(F.var_pop("l_quantity")).alias("var_pop"), F.count_if(F.col("l_discount") != 0).alias("n_nonzero"))
+    rows = table(spark, sf_dir, "lineitem")
+    picked = {"median_qty": tabular.exact_quantiles(rows, "l_quantity", [0.5])[0], "p90": tabular.exact_quantiles(rows, "l_extendedprice", [0.9])[0]}
+    return rows.agg(*[F.lit(round(v, 4)).alias(n) for n, v in picked.items()], r(F.stddev_pop("l_quantity")).alias("std_pop"), r(F.stddev_samp("l_quantity")).alias("std_samp"), r(F.var_pop("l_quantity")).alias("var_pop"), F.count_if(F.col("l_discount") != 0).alias("n_nonzero"))
 
 
 @query("a8_corr", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
@@ -267,7 +269,7 @@ def j8_keyword_theta(spark, sf_dir):
 def _any_word(text, words):
     found = F.lit(False)
     for w in words:
-        found = found | F.regexp_like(text, documents.keyword_pattern(F.lit(w)))
+        found = found | documents.has_keyword(text, w)
     return found
 
 

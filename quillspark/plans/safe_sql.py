@@ -9,6 +9,7 @@ Execution is tagged, cancelled at a deadline, and its rows are capped.
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 from dataclasses import dataclass, field
 
@@ -25,6 +26,9 @@ FUNCTIONS = set(
 )
 
 
+_NAMING = threading.Lock()
+
+
 @dataclass
 class Result:
     ok: bool
@@ -106,10 +110,13 @@ def run(df: DataFrame, sql: str, table: str = "df", rows: int = MAX_ROWS, second
     def work() -> None:
         spark.addTag(tag)
         try:
-            df.createOrReplaceTempView(table)
-            out = spark.sql(sql)
+            with _NAMING:  # the name is bound while the statement is resolved; concurrent calls don't see each other's table
+                df.createOrReplaceTempView(table)
+                out = spark.sql(sql)
+                spark.catalog.dropTempView(table)
             got = out.limit(rows + 1).collect()
-            done.append(Result(True, out.limit(rows), got[:rows], len(got) > rows))
+            # what was collected under tag and deadline is the result; nothing runs again
+            done.append(Result(True, spark.createDataFrame(got[:rows], out.schema), got[:rows], len(got) > rows))
         except PySparkException as e:
             done.append(Result(False, error=_sanitise(f"{e.getCondition() or type(e).__name__}: {e}")))
         except Exception as e:  # an interrupted job may surface as a gateway error

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FLAG_COLUMNS = ("source_file", "document_id", "page", "predicted_document_type", "field_name", "raw_candidate", "confidence", "threshold", "review_reason", "suggested_reviewer_action")
@@ -26,8 +29,54 @@ def to_document_json(df: DataFrame) -> DataFrame:
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """Every document as a line of JSON under its id; what an earlier run left goes."""
-    to_document_json(df).write.mode("overwrite").partitionBy("document_id").text(path)
+    """Every document as a line of JSON; what an earlier run left goes."""
+    to_document_json(df).select("json").write.mode("overwrite").text(path)
+
+
+def write_batch(documents: DataFrame, fields: DataFrame, flags: DataFrame, summary: DataFrame, errors: DataFrame, path: str, threshold: float, run: str = "{}") -> None:
+    """All of a batch's reports under a folder: documents and flags as lines of JSON, review queue and summary as CSV, and a line about the run.
+
+    Documents carry their fields; nothing is gathered into one row but the errors by file.
+    """
+    own = fields.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("field", *[c for c in fields.columns if c not in ("document_id", "field")]))).alias("fields"))
+    write_documents(documents.join(own, "document_id", "left"), f"{path}/documents")
+    flags.select(F.to_json(F.struct(*FLAG_COLUMNS), {"ignoreNullFields": "false"}).alias("json")).write.mode("overwrite").text(f"{path}/flags")
+    write_csv(flags, f"{path}/flagging_report", FLAG_COLUMNS)
+    write_csv(summary, f"{path}/extraction_summary", SUMMARY_COLUMNS)
+    about = errors.agg(F.map_from_entries(F.collect_list(F.struct("name", "error"))).alias("file_errors"))
+    about.select(F.to_json(F.struct(F.lit(threshold).alias("threshold"), "file_errors", F.parse_json(F.lit(run)).alias("run"))).alias("json")).write.mode("overwrite").text(f"{path}/run")
+
+
+def read_batch(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame, dict]:
+    """Documents (of a given schema), errors by file (name, error) and the run of what ``write_batch`` left."""
+    about = spark.read.json(f"{path}/run", "threshold double, file_errors map<string,string>, run string")
+    errors = about.select(F.explode("file_errors").alias("name", "error"))
+    return spark.read.json(f"{path}/documents", schema), errors, json.loads(about.first()["run"] or "{}")
+
+
+def zip_documents(df: DataFrame, path: str, most: int = 10_000) -> int:
+    """json/<document_id>.json of every document in one zip file of the driver's, for a download; more than ``most`` documents are an error."""
+    rows = to_document_json(df)
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a zip file holds {most} documents at most; write them as lines")
+    n = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for r in rows.orderBy("document_id").toLocalIterator():
+            out.writestr(f"json/{r['document_id']}.json", r["json"])
+            n += 1
+    return n
+
+
+def transcript(turns: list, title: str = "Transcript", about: str = "") -> str:
+    """A session's turns in markdown: question, intent, answer, and the statement that was run or its error."""
+    out = [f"# {title}", ""] + ([about, ""] if about else [])
+    for i, t in enumerate(turns, 1):
+        out += [f"## {i}. {t.question}", "", f"*Intent:* `{t.intent or 'n/a'}`", "", t.text, ""]
+        if t.sql:
+            out += ["```sql", t.sql, "```", ""]
+        if t.error:
+            out += [f"Error: `{t.error}`", ""]
+    return "\n".join(out)
 
 
 def batch_json(documents: DataFrame, errors: DataFrame, threshold: float) -> DataFrame:

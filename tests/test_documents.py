@@ -1,5 +1,7 @@
 import datetime
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import catalog, documents
@@ -107,8 +109,31 @@ def test_reports(spark, tmp_path):
     sinks.write_csv(documents.summary_rows(docs, rows), str(tmp_path / "s"), sinks.SUMMARY_COLUMNS)
     raw = next((tmp_path / "s").glob("part-*")).read_bytes()
     assert raw.count(b"\r\n") == 2 and raw.rstrip().endswith(b"True")
-    import json
-
     assert json.loads(sinks.flags_json(flags, 0.85).first().json)["flag_count"] == 3
     whole = json.loads(sinks.batch_json(docs, spark.createDataFrame([("b.png", "empty file")], "name string, error string"), 0.85).first().json)
     assert whole["file_errors"] == {"b.png": "empty file"} and whole["documents"][0]["document_id"] == "d"
+
+
+def test_batch_is_written_and_read(spark, tmp_path):
+    import zipfile
+    from types import SimpleNamespace
+
+    from quillspark.sources import sinks
+
+    docs = spark.createDataFrame([("d2", "b.png", 0.5), ("d1", "a.png", 0.9)], "document_id string, source_file string, confidence double")
+    fields = spark.createDataFrame([("d1", "place", "X", None), ("d1", "name", "Y", 0.5)], "document_id string, field string, raw_value string, confidence double")
+    flags = spark.createDataFrame([("a.png", "d1", "1", "pan_card", "name", None, 0.5, 0.85, "r", "act")], ", ".join(f"{c} {'double' if c in ('confidence', 'threshold') else 'string'}" for c in sinks.FLAG_COLUMNS))
+    summary = docs.select(*[F.lit("x").alias(c) for c in sinks.SUMMARY_COLUMNS])
+    errors = spark.createDataFrame([("c.png", "empty file")], "name string, error string")
+    for _ in range(2):  # an earlier run's files go
+        sinks.write_batch(docs, fields, flags, summary, errors, str(tmp_path), 0.85, '{"model": "m", "calls": 3}')
+    back, bad, run = sinks.read_batch(spark, str(tmp_path), "document_id string, confidence double, fields array<struct<field: string, raw_value: string, confidence: double>>")
+    assert {r.document_id: [tuple(f) for f in r.fields or []] for r in back.collect()} == {"d1": [("name", "Y", 0.5), ("place", "X", None)], "d2": []}
+    assert [tuple(r) for r in bad.collect()] == [("c.png", "empty file")] and run == {"model": "m", "calls": 3}
+    assert sinks.zip_documents(docs, str(tmp_path / "d.zip")) == 2
+    with zipfile.ZipFile(tmp_path / "d.zip") as z:
+        assert z.namelist() == ["json/d1.json", "json/d2.json"] and json.loads(z.read("json/d1.json"))["confidence"] == 0.9
+    with pytest.raises(ValueError):
+        sinks.zip_documents(docs, str(tmp_path / "e.zip"), most=1)
+    text = sinks.transcript([SimpleNamespace(question="How many?", intent="data", text="Two.", sql="SELECT 2", error=None)])
+    assert text.startswith("# Transcript") and "```sql\nSELECT 2\n```" in text and "*Intent:* `data`" in text
