@@ -642,18 +642,22 @@ _EVIDENCE_SQL = """e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
     CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE 60 END AS legibility, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 80 END AS ocr, l_linenumber % 4 > 0 AS majority, l_linenumber % 5 = 0 AS empty, l_linenumber % 7 = 0 AS coerced, l_suppkey % 2 = 0 AS hand, l_suppkey % 3 AS n_reads FROM lineitem)"""
 
 
+_CAPS_SQL = (("NOT majority", 40, "independent reads disagree (no majority) -> capped at 0.4"), ("empty", 75, "at least one independent read found no value -> capped at 0.75"), ("coalesce(validation = 0, false)", 70, "format/checksum validation failed -> capped at 0.7"), ("coerced", 84, "confusable characters were normalised -> capped at 0.84"), ("hand AND n_reads < 2", 80, "fewer than two vision reads for a handwritten field -> capped at 0.8"))
+
+
 @query(
     "p25_score_caps",
     f"""WITH {_EVIDENCE_SQL},
-        s AS (SELECT *, (35 * agreement + coalesce(20 * validation, 0) + coalesce(15 * legibility, 0) + coalesce((CASE WHEN hand THEN 5 ELSE 10 END) * ocr, 0) + 10 * 50)
-              / (35 + (CASE WHEN validation IS NULL THEN 0 ELSE 20 END) + (CASE WHEN legibility IS NULL THEN 0 ELSE 15 END) + (CASE WHEN ocr IS NULL THEN 0 WHEN hand THEN 5 ELSE 10 END) + 10) AS base FROM e)
-        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(least(base, CASE WHEN NOT majority THEN 40 ELSE 100 END, CASE WHEN empty THEN 75 ELSE 100 END, CASE WHEN validation = 0 THEN 70 ELSE 100 END, CASE WHEN coerced THEN 84 ELSE 100 END, CASE WHEN hand AND n_reads < 2 THEN 80 ELSE 100 END) / 5 + 0.97) AS fifth FROM s""",
+        s0 AS (SELECT *, (35 * agreement + coalesce(20 * validation, 0) + coalesce(15 * legibility, 0) + coalesce((CASE WHEN hand THEN 5 ELSE 10 END) * ocr, 0) + 10 * 50)
+              / (35 + (CASE WHEN validation IS NULL THEN 0 ELSE 20 END) + (CASE WHEN legibility IS NULL THEN 0 ELSE 15 END) + (CASE WHEN ocr IS NULL THEN 0 WHEN hand THEN 5 ELSE 10 END) + 10) AS now, '' AS caps FROM e),
+        {", ".join(f"s{i} AS (SELECT * REPLACE (CASE WHEN {c} AND now > {cap} + 1e-9 THEN {cap} ELSE now END AS now, CASE WHEN {c} AND now > {cap} + 1e-9 THEN caps || '{t};' ELSE caps END AS caps) FROM s{i - 1})" for i, (c, cap, t) in enumerate(_CAPS_SQL, 1))}
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(now / 5 + 0.97) AS fifth, caps FROM s{len(_CAPS_SQL)}""",
 )
 def p25_score_caps(spark, sf_dir):
     i = F.col("l_quantity").cast("bigint")
     line, supp = F.col("l_linenumber"), F.col("l_suppkey")
     e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (i % 5 * 0.25).alias("agreement"), F.when(i % 3 == 1, 0.0).when(i % 3 == 2, 1.0).alias("validation"), F.when(line % 2 != 0, 0.6).alias("legibility"), F.when(line % 3 != 0, 0.8).alias("ocr"), F.lit(None).cast("double").alias("proximity"), F.lit(0.5).alias("image_quality"), (line % 4 > 0).alias("majority"), (line % 5 == 0).alias("some_read_empty"), (line % 7 == 0).alias("coerced"), (supp % 2 == 0).alias("handwritten"), (supp % 3).alias("n_vision_reads"), F.lit(False).alias("missing"))
-    return documents.confidence(e).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("confidence") * 20 + 0.97).cast("double").alias("fifth"))
+    return documents.confidence(e).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("confidence") * 20 + 0.97).cast("double").alias("fifth"), F.array_join(F.transform("caps_applied", lambda c: F.concat(c, F.lit(";"))), "").alias("caps"))
 
 
 @query("p26_legibility", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(greatest(0.0, CASE WHEN l_linenumber % 2 = 0 THEN (1.0 + 0.25) / 2 ELSE 0.5 END - 0.15 * (l_suppkey % 3)), 4) AS legibility FROM lineitem")
@@ -693,21 +697,21 @@ _F_SQL = "f AS (SELECT 'order-' || l_orderkey AS document_id, l_linenumber, min(
 @query(
     "p36_flag_rows",
     f"""WITH {_F_SQL}
-        SELECT source_file, document_id, '1,2' AS page, document_type AS predicted_document_type, '(document classification)' AS field_name, 'e' AS raw_candidate, 'classifier unsure' AS review_reason FROM o WHERE document_type = 'P'
-        UNION ALL SELECT source_file, document_id, CAST(l_linenumber AS VARCHAR), document_type, 'line_' || l_linenumber, CASE WHEN d > 0 THEN CAST(CAST(d AS DECIMAL(4,2)) AS VARCHAR) ELSE '' END, 'validation: below' FROM f JOIN o USING (document_id) WHERE d < 0.05""",
+        SELECT source_file, document_id, '1,2' AS page, document_type AS predicted_document_type, '(document classification)' AS field_name, 'e' AS raw_candidate, 0.5 AS confidence, 0.85 AS threshold, 'classifier unsure' AS review_reason, 'Confirm the predicted document type.' AS suggested_reviewer_action FROM o WHERE document_type = 'P'
+        UNION ALL SELECT source_file, document_id, CAST(l_linenumber AS VARCHAR), document_type, 'line_' || l_linenumber, CASE WHEN d > 0 THEN CAST(CAST(d AS DECIMAL(4,2)) AS VARCHAR) ELSE '' END, round(d * 10, 6), 0.85, 'validation: below', 'Check the value against the image; if read correctly, the source document itself fails the format rule.' FROM f JOIN o USING (document_id) WHERE d < 0.05""",
 )
 def p36_flag_rows(spark, sf_dir):
-    return documents.flag_rows(*_order_fields(spark, sf_dir)).drop("confidence", "threshold", "suggested_reviewer_action")
+    return documents.flag_rows(*_order_fields(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
     "a10_summary",
-    f"""WITH {_F_SQL}, s AS (SELECT document_id, count(*) AS fields_total, count(*) FILTER (WHERE NOT d < 0.05) AS fields_auto_accepted, count(*) FILTER (WHERE d < 0.05) AS fields_for_review, count(*) FILTER (WHERE NOT d > 0) AS fields_missing FROM f GROUP BY 1)
-        SELECT document_id, source_file, '1,2' AS pages, document_type, coalesce(fields_total, 0) AS fields_total, coalesce(fields_auto_accepted, 0) AS fields_auto_accepted, coalesce(fields_for_review, 0) AS fields_for_review, coalesce(fields_missing, 0) AS fields_missing,
+    f"""WITH {_F_SQL}, s AS (SELECT document_id, round(avg(d * 10), 3) AS mean_field_confidence, count(*) AS fields_total, count(*) FILTER (WHERE NOT d < 0.05) AS fields_auto_accepted, count(*) FILTER (WHERE d < 0.05) AS fields_for_review, count(*) FILTER (WHERE NOT d > 0) AS fields_missing FROM f GROUP BY 1)
+        SELECT document_id, source_file, '1,2' AS pages, document_type, 0.5 AS classification_confidence, mean_field_confidence, coalesce(fields_total, 0) AS fields_total, coalesce(fields_auto_accepted, 0) AS fields_auto_accepted, coalesce(fields_for_review, 0) AS fields_for_review, coalesce(fields_missing, 0) AS fields_missing,
                document_type = 'P' OR coalesce(fields_for_review > 0, false) AS document_review_required FROM o LEFT JOIN s USING (document_id)""",
 )
 def a10_summary(spark, sf_dir):
-    return documents.summary_rows(*_order_fields(spark, sf_dir)).drop("classification_confidence", "mean_field_confidence")
+    return documents.summary_rows(*_order_fields(spark, sf_dir))
 
 
 @query("a11_batch_metrics", f"WITH {_F_SQL} SELECT (SELECT count(*) FROM o) AS documents, count(*) FILTER (WHERE NOT d < 0.05) AS accepted, count(*) AS fields FROM f JOIN o USING (document_id)")
@@ -845,20 +849,21 @@ def q_safe_sql(spark, sf_dir):
 @query(
     "p24_field_assembly",
     f"""WITH {_READS_SQL.replace("CASE WHEN l_quantity < 10 THEN NULL ELSE CAST(l_suppkey % 3 AS VARCHAR) END", "CASE WHEN l_quantity < 10 THEN NULL ELSE 'Read' || chr(CAST(65 + l_suppkey % 3 AS INT)) END")},
-    n AS (SELECT l_partkey, key, pos, row_number() OVER (PARTITION BY l_partkey ORDER BY pos, key) AS rn FROM r), q AS (SELECT * FROM n WHERE rn <= 3),
+    n AS (SELECT l_partkey, key, pos, row_number() OVER (PARTITION BY l_partkey ORDER BY pos, key) AS rn FROM r), q AS (SELECT * FROM n),
     k AS (SELECT l_partkey, key, count(*) AS c, min(rn) AS first FROM q WHERE key IS NOT NULL GROUP BY 1, 2),
     m AS (SELECT l_partkey, key, c, row_number() OVER (PARTITION BY l_partkey ORDER BY c DESC, first) AS o, max(c) OVER (PARTITION BY l_partkey) AS most FROM k),
     t AS (SELECT l_partkey, max(key) FILTER (WHERE o = 1) AS top_key, max(c) AS top, count(*) AS d, count(*) FILTER (WHERE c = most) > 1 AS tied FROM m GROUP BY 1),
-    a AS (SELECT DISTINCT l_partkey FROM q)
-    SELECT CAST(a.l_partkey AS VARCHAR) AS document_id, CASE WHEN NOT coalesce(d > 1 AND (top < 2 OR tied), false) THEN top_key END AS raw_value, top_key IS NULL OR coalesce(d > 1 AND (top < 2 OR tied), false) AS withheld FROM a LEFT JOIN t USING (l_partkey)""",
+    a AS (SELECT l_partkey, count(*) AS reads FROM q GROUP BY 1)
+    SELECT CAST(a.l_partkey AS VARCHAR) AS document_id, CASE WHEN NOT coalesce(d > 1 AND (top < 2 OR tied), false) THEN top_key END AS raw_value, top_key IS NULL OR coalesce(d > 1 AND (top < 2 OR tied), false) AS withheld, coalesce(d, 0) AS n_candidates, reads AS n_reads FROM a LEFT JOIN t USING (l_partkey)""",
 )
 def p24_field_assembly(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.when(F.col("l_quantity") >= 10, F.concat(F.lit("Read"), F.char(65 + F.col("l_suppkey") % 3))).alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p"))
     rn = F.row_number().over(Window.partitionBy("l_partkey").orderBy("p", F.col("value").asc_nulls_last()))
-    method = F.get(F.array(F.lit("vision_full_page"), F.lit("vision_crop"), F.lit("vision_crop_binarized")), F.col("pos") - 1)
-    reads = rows.withColumn("pos", rn).where("pos <= 3").select(F.col("l_partkey").cast("string").alias("document_id"), F.lit("bank_name").alias("field"), "pos", method.alias("method"), "value", F.lit("clear").alias("legibility"), F.array().cast("array<string>").alias("ambiguous"), F.lit(True).alias("label_visible"), F.lit(None).cast("string").alias("error"))
+    method = F.get(F.array(F.lit("vision_full_page"), F.lit("vision_crop"), F.lit("vision_crop_binarized")), (F.col("pos") - 1) % 3)
+    reads = rows.withColumn("pos", rn).select(F.col("l_partkey").cast("string").alias("document_id"), F.lit("bank_name").alias("field"), "pos", method.alias("method"), "value", F.lit("clear").alias("legibility"), F.array().cast("array<string>").alias("ambiguous"), F.lit(True).alias("label_visible"), F.lit(None).cast("string").alias("error"))
     ids = reads.select("document_id").distinct()
     specs = ids.select("document_id", F.lit("bank_name").alias("field"), F.lit("text").alias("validator"), F.lit("handwritten").alias("kind"), F.array().cast("array<string>").alias("options"))
     context = ids.select("document_id", F.lit("bank_name").alias("field"), F.lit(None).cast("double").alias("ocr"), F.lit(1.0).alias("proximity"), F.lit(0.9).alias("image_quality"), F.lit("r").alias("region_desc"))
     out = documents.resolve_fields(specs, reads, context, as_of())
-    return out.select("document_id", "raw_value", (F.col("raw_value").isNull()).alias("withheld"))
+    n_reads = F.size(F.filter("method", lambda m: m.startswith("vision")))
+    return out.select("document_id", "raw_value", (F.col("raw_value").isNull()).alias("withheld"), F.size("candidates").cast("bigint").alias("n_candidates"), n_reads.cast("bigint").alias("n_reads"))
