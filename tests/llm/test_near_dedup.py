@@ -44,8 +44,8 @@ def got(df):
     return {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
 
 
-def test_documents_match_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+def test_documents_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert got(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
