@@ -146,4 +146,5 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and its token count for every document."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
