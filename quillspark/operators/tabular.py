@@ -6,6 +6,9 @@ ties keep the first row, an empty sum is 0, a comparison with a missing value is
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,18 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.dropna(subset=[row, column]).groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def with_margins(counts: DataFrame, row: str, values: list) -> DataFrame:
+    """A crosstab with an ``All`` column and an ``All`` row; the row names become text."""
+    every = reduce(add, [F.col(f"`{v}`") for v in values])
+    wide = counts.select(F.col(row).cast("string").alias(row), *[F.col(f"`{v}`") for v in values], every.alias("All"))
+    return wide.unionByName(wide.agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).alias(str(c)) for c in [*values, "All"]]).withColumn(row, F.lit("All")))
+
+
+def pivot(df: DataFrame, row: str, column: str, values: list, aggregate: Column) -> DataFrame:
+    """Any aggregate of ``values`` of a column by row; null where there are no rows."""
+    return df.dropna(subset=[row, column]).groupBy(row).pivot(column, values).agg(aggregate)
+
+
 def pivot_mean(df: DataFrame, row: str, column: str, value: str, values: list) -> DataFrame:
     return df.dropna(subset=[row, column]).groupBy(row).pivot(column, values).agg(F.avg(value))
 

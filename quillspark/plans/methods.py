@@ -329,3 +329,45 @@ def n8_sort_argsort_unique(spark, sf_dir):
     held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k % 7).alias("l"))
     shown = lambda c: F.array_join(c.cast("array<string>"), ",")
     return held.select("o_custkey", shown(frames.sorted_values(F.col("l"))).alias("sorted"), shown(frames.unique_sorted(F.col("l"))).alias("uniq"), shown(frames.sorting_order(F.col("l"))).alias("places"))
+
+
+_TYPES = ["click", "view", "purchase"]
+
+
+@query(
+    "a7_crosstab_margins",
+    "WITH c AS (SELECT CAST(user_id % 5 AS VARCHAR) AS bucket, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS \"{t}\"" for t in _TYPES) + ", count(*) FILTER (WHERE event_type IN ('click', 'view', 'purchase')) AS \"All\" FROM events GROUP BY 1) SELECT * FROM c UNION ALL SELECT 'All', " + ", ".join(f'CAST(sum("{t}") AS BIGINT)' for t in [*_TYPES, "All"]) + " FROM c",
+)
+def a7_crosstab_margins(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("bucket", F.col("user_id") % 5)
+    return tabular.with_margins(tabular.crosstab(rows, "bucket", "event_type", _TYPES), "bucket", _TYPES)
+
+
+@query("a7_pivot_sum", "SELECT user_id % 5 AS bucket, " + ", ".join(f"CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = '{t}') AS BIGINT) AS \"{t}\"" for t in _TYPES) + " FROM events GROUP BY 1")
+def a7_pivot_sum(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("bucket", F.col("user_id") % 5)
+    return tabular.pivot(rows, "bucket", "event_type", _TYPES, F.sum("cents"))
+
+
+@query("r5_explode", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 3 = 0")
+def r5_explode(spark, sf_dir):
+    words = F.when(F.col("p_partkey") % 3 > 0, F.split("p_name", " "))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode_outer(words).alias("word"))
+
+
+@query("f13_string_filters", "SELECT p_partkey FROM part WHERE (starts_with(p_name, 'b') OR ends_with(p_type, 'L')) AND p_name LIKE '%a_%' AND NOT contains(p_brand, '5')")
+def f13_string_filters(spark, sf_dir):
+    either = F.startswith(F.col("p_name"), F.lit("b")) | F.endswith(F.col("p_type"), F.lit("L"))
+    return table(spark, sf_dir, "part").where(either & F.col("p_name").like("%a_%") & ~F.contains(F.col("p_brand"), F.lit("5"))).select("p_partkey")
+
+
+@query("f9_missing_numbers", "SELECT count(*) FILTER (WHERE event_id % 4 = 0 OR event_id % 9 = 0) AS missing, count(*) FILTER (WHERE event_id % 9 = 0) AS nulls FROM events")
+def f9_missing_numbers(spark, sf_dir):
+    v = F.when(F.col("event_id") % 9 != 0, F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return table(spark, sf_dir, "events").agg(F.count_if(frames.missing(v, floating=True)).alias("missing"), F.count_if(frames.missing(v)).alias("nulls"))
+
+
+@query("t9_sorted_extremes", "SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS argmin, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS argmax FROM orders GROUP BY 1")
+def t9_sorted_extremes(spark, sf_dir):
+    first = lambda sign: F.struct("o_totalprice", sign * F.col("o_orderkey"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", first(1)).alias("argmin"), F.max_by("o_orderkey", first(-1)).alias("argmax"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import privacy, validators
 from ..operators import documents, fuzzy, outcomes
-from ..sources import providers
+from ..sources import grid, providers, sinks
 from .registry import query, table
 
 AS_OF = "2025-06-30"
@@ -377,3 +377,113 @@ def m11_positions(spark, sf_dir):
     digits = F.translate(F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), "015", "OIS")
     value = F.concat(F.substring("c_mktsegment", 1, 3), digits)
     return table(spark, sf_dir, "customer").select("c_custkey", privacy.coerce_pattern(F.upper(value), "AAA999").alias("coerced"))
+
+
+# --- sheets, sources, cells
+
+
+_CELLS = (("12", "text", True), (" 1,234.5 ", "text", True), ("abc", "text", False), ("1e5", "text", True), ("", "text", False), ("NaN", "text", True), ("7", "number", True), ("true", "bool", False))
+
+
+@query("s3_numeric_cells", "SELECT page_id, CASE page_id % 8 " + " ".join(f"WHEN {i} THEN {str(n).lower()}" for i, (_, _, n) in enumerate(_CELLS)) + " END AS numeric FROM pages")
+def s3_numeric_cells(spark, sf_dir):
+    cell = F.get(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(k).alias("k")) for c, k, _ in _CELLS]), (F.col("page_id") % 8).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", grid.is_number(cell["c"], cell["k"]).alias("numeric"))
+
+
+@query(
+    "s4_column_names",
+    r"""WITH k AS (SELECT p_partkey, p_name || '/' || chr(10) || ' ' || p_type || '-  (' || p_brand || ')' AS raw FROM part), l AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(raw, '([-/])\s+', '\1', 'g'), '\s+', ' ', 'g')) AS label FROM k)
+        SELECT p_partkey, label, regexp_replace(regexp_replace(regexp_replace(lower(label), '\(([^)]*)\)', ' \1', 'g'), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS name FROM l""",
+)
+def s4_column_names(spark, sf_dir):
+    raw = F.concat("p_name", F.lit("/\n "), "p_type", F.lit("-  ("), "p_brand", F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", grid.clean_label(raw).alias("label")).select("p_partkey", "label", grid.column_name(F.col("label")).alias("name"))
+
+
+@query("s5_repeated_headers", "SELECT name || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS name, label FROM (SELECT CASE WHEN n_regionkey = 0 THEN 'unnamed' ELSE 'region_' || n_regionkey END AS name, CASE WHEN n_regionkey = 0 THEN '' ELSE 'Region ' || n_regionkey END AS label, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation)")
+def s5_repeated_headers(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.when(F.col("n_regionkey") > 0, F.concat(F.lit("Region  "), F.col("n_regionkey").cast("string"))).alias("h")).collect()
+    return spark.createDataFrame(grid.column_names(spark, [r["h"] for r in rows]), "name string, label string")
+
+
+@query(
+    "s1_sheet_of_parts",
+    "SELECT CAST(p_partkey AS VARCHAR) || 'x' AS product_id, p_size AS opening_stock, CASE WHEN p_partkey % 4 < 3 THEN p_retailprice END AS price_usd FROM part",
+)
+def s1_sheet_of_parts(spark, sf_dir):
+    """A sheet with a title, blank rows and an empty column about the parts."""
+    head = spark.createDataFrame([(0, ["Stock report", None, None, None], ["text", "null", "null", "null"]), (1, [None] * 4, ["null"] * 4), (2, ["Product ID", None, "Opening \nStock", "Price (USD)"], ["text", "null", "text", "text"])], "row_idx int, cells array<string>, cell_kind array<string>")
+    price = F.when(F.col("p_partkey") % 4 < 3, F.col("p_retailprice").cast("string"))
+    cells = F.array(F.concat(F.col("p_partkey").cast("string"), F.lit("x")), F.lit(None).cast("string"), F.col("p_size").cast("string"), price)
+    kinds = F.array(F.lit("text"), F.lit("null"), F.lit("number"), F.when(price.isNull(), "null").otherwise("number"))
+    body = table(spark, sf_dir, "part").select((F.col("p_partkey") * 2 + 5).cast("int").alias("row_idx"), cells.alias("cells"), kinds.alias("cell_kind"))
+    blank = table(spark, sf_dir, "part").select((F.col("p_partkey") * 2 + 6).cast("int").alias("row_idx"), F.array(*[F.lit(None).cast("string")] * 4).alias("cells"), F.array(*[F.lit("null")] * 4).alias("cell_kind"))
+    return grid.load_grid(head.unionByName(body).unionByName(blank))
+
+
+def _sources(spark, sf_dir):
+    k = F.col("c_custkey")
+    source = lambda i: F.struct(F.concat(F.lit(f"t{i}["), k.cast("string"), F.lit("]")).alias("title"), F.concat(F.when(k % i == 0, "https://e.org/").otherwise("ftp://e.org/"), F.lit(str(i))).alias("url"), F.when(k % 2 == i % 2, F.repeat(F.lit("s"), 350)).otherwise("").alias("snippet"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array(*[source(i) for i in (1, 2, 3, 4, 6, 12)]).alias("sources"))
+
+
+_S = "list_filter([1, 2, 3, 4, 6, 12], lambda i: c_custkey % i = 0)"
+
+
+@query("s22_http_sources", f"SELECT c_custkey, least(5, len({_S})) AS n, array_to_string(list_transform(({_S})[1:5], lambda i: 'https://e.org/' || i), ' ') AS urls, 300 * len(list_filter(({_S})[1:5], lambda i: c_custkey % 2 = i % 2)) AS snippet_chars FROM customer")
+def s22_http_sources(spark, sf_dir):
+    kept = _sources(spark, sf_dir).select("c_custkey", providers.http_sources(F.col("sources")).alias("s"))
+    return kept.select("c_custkey", F.size("s").cast("bigint").alias("n"), F.array_join("s.url", " ").alias("urls"), F.length(F.array_join("s.snippet", "")).cast("bigint").alias("snippet_chars"))
+
+
+@query("t7_cited_first", "SELECT c_custkey, array_to_string(list_transform(list_concat(list_filter([1, 2, 3, 4, 6, 12], lambda i: c_custkey % 2 = i % 2), list_filter([1, 2, 3, 4, 6, 12], lambda i: c_custkey % 2 <> i % 2)), lambda i: CASE WHEN c_custkey % i = 0 THEN 'https://e.org/' ELSE 'ftp://e.org/' END || i), ' ') AS urls FROM customer")
+def t7_cited_first(spark, sf_dir):
+    return _sources(spark, sf_dir).select("c_custkey", F.array_join(providers.cited_first(F.col("sources"))["url"], " ").alias("urls"))
+
+
+@query("k12_source_list", f"SELECT c_custkey, array_to_string(list_transform(range(1, least(5, len({_S})) + 1), lambda j: j || '. [t' || ({_S})[j] || '(' || c_custkey || ')](https://e.org/' || ({_S})[j] || ')'), chr(10)) AS listed FROM customer")
+def k12_source_list(spark, sf_dir):
+    return _sources(spark, sf_dir).select("c_custkey", providers.source_list(providers.http_sources(F.col("sources"))).alias("listed"))
+
+
+@query("k6_csv_cells", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'True' ELSE 'False' END AS positive, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer")
+def k6_csv_cells(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("positive"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_nationkey")).alias("nation"))
+    return rows.select("c_custkey", sinks.csv_cell(rows, "positive"), sinks.csv_cell(rows, "nation"))
+
+
+@query("m13_ocr_token", "SELECT c_custkey, regexp_replace(lower(c_name || '<É.'), '[^a-z0-9<]', '', 'g') AS token FROM customer")
+def m13_ocr_token(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", privacy.ocr_token(F.concat("c_name", F.lit("<É."))).alias("token"))
+
+
+@query("m14_duration", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey AS DOUBLE) WHEN 1 THEN c_custkey + 0.5 END AS seconds FROM customer")
+def m14_duration(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(k, F.lit("s"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" "), k, F.lit(".5s "))).otherwise(F.concat(k, F.lit("m")))
+    return table(spark, sf_dir, "customer").select("c_custkey", privacy.duration_seconds(text).alias("seconds"))
+
+
+@query(
+    "m3_mask_runs",
+    "SELECT c_custkey, 'card ' || '•••• •••• ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || ' of ••••' || right('AB' || lpad(CAST(c_custkey AS VARCHAR), 6, '0'), 4) || ', plainword a1b2c and ••2345' AS masked FROM customer",
+)
+def m3_mask_runs(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("card 1234 5678 "), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" of AB"), F.lpad(k, 6, "0"), F.lit(", plainword a1b2c and 112345"))
+    return table(spark, sf_dir, "customer").select("c_custkey", privacy.mask_numbers_in_text(text).alias("masked"))
+
+
+_SHAPES = ("right", "right_wide", "below", "row")
+
+
+@query(
+    "p30_all_regions",
+    "WITH b AS (SELECT p_partkey, p_partkey % 4 AS k, p_size AS x0, p_size * 2 AS y0, p_size + 10 AS x1, p_size * 2 + 20 AS y1 FROM part) SELECT p_partkey, CASE k WHEN 0 THEN x0 - 20 WHEN 1 THEN x0 - 20 WHEN 2 THEN x0 - 40 ELSE 0 END AS x0, CASE k WHEN 0 THEN y0 - 36 WHEN 1 THEN y0 - 36 WHEN 2 THEN y0 - 20 ELSE y0 - 30 END AS y0, CASE k WHEN 0 THEN least(1000, x1 + 450) WHEN 1 THEN 1000 WHEN 2 THEN least(1000, x1 + 350) ELSE 1000 END AS x1, CASE k WHEN 0 THEN y1 + 36 WHEN 1 THEN y1 + 36 WHEN 2 THEN y1 + 100 ELSE y1 + 50 END AS y1 FROM b",
+)
+def p30_all_regions(spark, sf_dir):
+    s = F.col("p_size")
+    box = F.struct(s.alias("x0"), (s * 2).alias("y0"), (s + 10).alias("x1"), (s * 2 + 20).alias("y1"))
+    shape = F.get(F.array(*map(F.lit, _SHAPES)), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", fuzzy.anchor_region(box, shape, F.lit(1000), F.lit(1400)).alias("r")).select("p_partkey", "r.*")
