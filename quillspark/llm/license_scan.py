@@ -12,6 +12,7 @@ also reported as what its parts would be.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -344,6 +345,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _texts(values: list[str]) -> Column:
+    """An array of texts as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")
+
+
 def _places(words: Column, phrase: str) -> Column:
     """Starts of a phrase's words standing one after another."""
     parts = phrase.split()
@@ -403,10 +409,12 @@ def license_scan(docs: DataFrame) -> DataFrame:
     columns other than doc_id and text are not looked at.
     """
     table = rules()
-    literal = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(tier).alias("tier"), F.lit(weight).alias("weight"), F.array(*map(F.lit, keys)).alias("keys"), F.lit(regex).alias("regex")) for label, tier, weight, keys, regex in table])
+    # one literal: the optimizer folds it, and the driver doesn't build thousands of columns
+    fields = ("label", "tier", "weight", "keys", "regex")
+    literal = F.from_json(F.lit(json.dumps([dict(zip(fields, rule, strict=True)) for rule in table])), "array<struct<label: string, tier: int, weight: double, keys: array<string>, regex: string>>")
     every = sorted({k for _, _, _, keys, _ in table for k in keys})
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
-    rows = rows.select("doc_id", _let(F.col("words"), lambda w: F.struct(F.size(w).alias("n"), F.when(F.arrays_overlap(w, F.array(*map(F.lit, triggers(table)))), w).alias("w"))).alias("x")).select("doc_id", F.col("x.n").alias("n"), F.col("x.w").alias("words"))
+    rows = rows.select("doc_id", _let(F.col("words"), lambda w: F.struct(F.size(w).alias("n"), F.when(F.arrays_overlap(w, _texts(triggers(table))), w).alias("w"))).alias("x")).select("doc_id", F.col("x.n").alias("n"), F.col("x.w").alias("words"))
 
     def named(phrase: str, label: str) -> Column:
         return F.transform(_places(F.col("words"), phrase), lambda i: F.struct(i.alias("i"), F.lit(label).alias("label")))
@@ -415,7 +423,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     norm = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
 
     def scan(text: Column) -> Column:
-        have = F.array_intersect("words", F.array(*map(F.lit, every)))
+        have = F.array_intersect("words", _texts(every))
         tried = _let(have, lambda h: F.filter(literal, lambda r: F.size(F.array_except(r["keys"], h)) == 0))
         return _swept(F.flatten(F.transform(tried, lambda r: _detections(text, r))))
 
