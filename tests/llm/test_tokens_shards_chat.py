@@ -162,6 +162,19 @@ def test_examples_are_prefixes(spark):
     assert examples(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).collect() == []
 
 
+def test_a_long_conversation_has_whole_contexts_too(spark, tmp_path):
+    said = [(1, k, "assistant" if k % 2 else "user", f"turn {k} " + "word " * 200) for k in range(60)]
+    turns = spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string")
+    rows = sorted(examples(turns).collect(), key=lambda r: r.example)
+    assert len(rows[-1].text) > 3 * SEGMENT and {r.prefix_chars for r in rows} == {0}
+    assert [[(role, text) for role, text, _, _ in parse(r.text)] for r in rows] == [[t[2:] for t in said[: 2 * k + 2]] for k in range(30)]
+    assert [r.text[r.loss_start : r.loss_end] for r in rows] == [t[3] for t in said[1::2]]
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    key = lambda r: r.conv_id
+    got = sorted(op7_chat_formatting(spark, str(tmp_path)).collect(), key=key)
+    assert [r for r in got if r.conv_id == 1] == sorted(digests(examples(turns, SEGMENT)).collect(), key=key)
+
+
 def test_a_conversation_of_many_turns(spark):
     """Half of the turns are one run without an assistant; time and memory stay linear in the turns."""
     n = 64_000
