@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut, dealt_join, drop, python_ready
+from .scratch import cut, dealt_join, drop, python_ready, trimmed
 from .wordkernel import Words, as_long, ragged, shingle_set
 
 SHINGLE, SKETCH, RUN = 5, 48, 3
@@ -43,6 +43,8 @@ SHINGLE, SKETCH, RUN = 5, 48, 3
 MARGIN = 0.35
 #: Members of a block at most, and values of a block about.
 BLOCK, BLOCK_VALUES = 512, 200_000
+#: Rows and bytes of an Arrow batch: executors hold several at once beside their heap.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
@@ -93,7 +95,7 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(key, values): the full sets of some classes, from the texts."""
     reps = wanted.join(ids, "key").select("rep").distinct()
     texts = docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi").select("text")
-    return texts.mapInArrow(_full_sets, "key binary, values array<bigint>").dropDuplicates(["key"])
+    return texts.mapInArrow(trimmed(_full_sets), "key binary, values array<bigint>").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
@@ -107,6 +109,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, percent: int) -
     return links
 
 
+def _sides(column: pa.ListArray) -> Iterator[list[dict]]:
+    """The members of each row; their values stay arrays, as numbers of Python's take four times the memory."""
+    names = [f.name for f in column.type.value_type]
+    for i in range(len(column)):
+        fields = column.slice(i, 1).flatten().flatten()
+        parts = [[x.values.to_numpy() for x in f] if pa.types.is_list(f.type) else f.to_pylist() for f in fields]
+        yield [dict(zip(names, m, strict=True)) for m in zip(*parts, strict=True)]
+
+
 def _incidence(left: list, right: list):
     """Shared values of every member of ``left`` with every one of ``right``, and whether their components differ."""
     sides = [[np.asarray(m["values"], dtype=np.int64) for m in side] for side in (left, right)]
@@ -139,9 +150,8 @@ def _flagged(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pydict()
             centres, keys = [], []
-            for centre, left, right in zip(rows["centre"], rows["members"], rows["others"], strict=True):
+            for centre, left, right in zip(batch["centre"].to_pylist(), _sides(batch["members"]), _sides(batch["others"]), strict=True):
                 shared, far, _ = _incidence(left, right)
                 a, b = _sizes(left)[:, None], _sizes(right)[None, :]
                 small = np.minimum(a, b)
@@ -159,9 +169,8 @@ def _crossing(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pydict()
             u, v = [], []
-            for left, right in zip(rows["members"], rows["others"], strict=True):
+            for left, right in zip(_sides(batch["members"]), _sides(batch["others"]), strict=True):
                 shared, far, root = _incidence(left, right)
                 union = _sizes(left)[:, None] + _sizes(right)[None, :] - shared
                 good = far & (100 * shared >= percent * union)
@@ -205,10 +214,10 @@ def _rest(families: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataF
     known = families.where("key != centre").join(roots, families["key"] == roots["node"], "left").select("centre", "key", F.coalesce("root", "key").alias("root"))
     mixed = known.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("centre")
     members = known.join(mixed, "centre").join(classes.select("key", F.col("n_shingles").alias("n"), F.col("sketch").alias("values")), "key")
-    flagged = cut(_blocks(members, percent).mapInArrow(_flagged(percent), "centre binary, key binary").distinct(), "near-flagged")
+    flagged = cut(_blocks(members, percent).mapInArrow(trimmed(_flagged(percent)), "centre binary, key binary").distinct(), "near-flagged")
     sets = cut(_sets_of(flagged.select("key").distinct(), docs, ids), "near-sets")
     members = known.join(flagged, ["centre", "key"]).join(sets.select("key", F.size("values").alias("n"), "values"), "key")
-    links = cut(_blocks(members, percent).select("members", "others").mapInArrow(_crossing(percent), "u binary, v binary").distinct(), "near-more")
+    links = cut(_blocks(members, percent).select("members", "others").mapInArrow(trimmed(_crossing(percent)), "u binary, v binary").distinct(), "near-more")
     drop(flagged, sets)
     return links
 
@@ -224,9 +233,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ``docs`` other than doc_id and text are not looked at.
     """
     spark = docs.sparkSession
-    python_ready(spark)
+    python_ready(spark, BATCH_ROWS, BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut(docs.mapInArrow(_sketches, "doc_id bigint, n_shingles bigint, key binary, sketch array<bigint>"), "near-sketches")
+    sets = cut(docs.mapInArrow(trimmed(_sketches), "doc_id bigint, n_shingles bigint, key binary, sketch array<bigint>"), "near-sketches")
     classes = cut(sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "near-classes")
     ids = classes.where("rep IS NOT NULL").select("key", "rep")
 

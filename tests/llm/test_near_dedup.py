@@ -2,8 +2,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from quillspark.llm import minhash_dedup
 from quillspark.llm.components import components
 from quillspark.llm.minhash_dedup import near_duplicates, one_of_each_group
 
@@ -89,3 +92,14 @@ def test_components_of_a_chain(spark):
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     with pytest.raises(RuntimeError):
         components(edges, rounds=1)
+
+
+def test_python_workers_hold_little(spark, docs_of):
+    near_duplicates(docs_of([(1, "a b c d e f"), (2, "a b c d e f")])).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    member = pa.struct([("key", pa.binary()), ("root", pa.binary()), ("n", pa.int64()), ("values", pa.list_(pa.int64()))])
+    rows = [[], [{"key": b"a", "root": b"r", "n": 2, "values": [5, 7]}, {"key": b"b", "root": b"s", "n": 0, "values": []}], [{"key": b"c", "root": b"r", "n": 1, "values": [9]}]]
+    found = list(minhash_dedup._sides(pa.array(rows, pa.list_(member)).slice(1)))
+    assert all(isinstance(m["values"], np.ndarray) for side in found for m in side)
+    assert [[m | {"values": m["values"].tolist()} for m in side] for side in found] == rows[1:]
