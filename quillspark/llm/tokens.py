@@ -16,6 +16,9 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from .wordkernel import LOWER, Words, same_words
 
 MEMO = 1_000_000
 
@@ -82,16 +85,42 @@ class WordTokenizer:
         return out
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of texts without special tokens."""
+        """The ids of texts without special tokens.
+
+        A batch's words are told apart by their hashes, so each is looked up once; should two words have one hash, all are told apart by their bytes.
+        """
         memo = self._memo
         if len(memo) > self._most:
             memo.clear()
-        split = [t.encode().lower().split() for t in texts]
-        new = set().union(*split).difference(memo)
+        words = Words(pa.array(texts, pa.large_string()))
+        data, n = LOWER[words.raw], len(words.start)
+        if n == 0:
+            return [np.zeros(0, dtype=np.uint32) for _ in texts]
+        order = np.argsort(words.hashes)
+        ranked = words.hashes[order]
+        edge = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        first, which = order[edge], np.empty(n, dtype=np.int64)
+        which[order] = np.cumsum(edge) - 1
+        text = data.tobytes()
+        if not same_words(data, words.start, words.end, first[which]):
+            known: dict[bytes, int] = {}
+            which = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)])
+            own = list(known)
+        else:
+            own = [text[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
+        found = list(map(memo.get, own))
+        new = [w for w, ids in zip(own, found, strict=True) if ids is None]
         if new:
             ends = {w: m.end(1) for w in new if (m := _MARKED.match(w))}
             stems = {w[:k] for w, k in ends.items()} | {w[k:] for w, k in ends.items()}
-            self._learn([p for p in stems | (new - ends.keys()) if p not in memo])
+            self._learn([p for p in stems.union(w for w in new if w not in ends) if p not in memo])
             for w, k in ends.items():
                 memo[w] = memo[w[:k]] + memo[w[k:]]
-        return [np.frombuffer(b"".join(map(memo.__getitem__, words)), dtype=np.uint32) for words in split]
+            found = [memo[w] if ids is None else ids for w, ids in zip(own, found, strict=True)]
+        flat = np.frombuffer(b"".join(found), dtype=np.uint32)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        many, begin = size[which], (np.cumsum(size) - size)[which]
+        end = np.concatenate(([0], np.cumsum(many)))
+        ids = flat[np.repeat(begin - end[:-1], many) + np.arange(end[-1])]
+        cuts = end[words.first].tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
+from quillspark.llm import tokens
 from quillspark.llm.packing import combinations, fullest, pack, tokenizer_path
 from quillspark.llm.tokens import WordTokenizer
 
@@ -39,6 +40,40 @@ def test_ids_are_the_tokenizer_s(spark, sf):
     assert [x.tolist() for x in WordTokenizer(tokenizer_path(), memo=50)(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_word_is_looked_up_once_a_batch():
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            Counted.n += 1
+            return super().get(key, default)
+
+    encode = WordTokenizer(tokenizer_path())
+    encode._memo = Counted()
+    ids = [x.tolist() for x in encode(["over and over " * 500, None, "", "and OVER"])]
+    plain = Tokenizer.from_file(tokenizer_path())
+    assert ids == [plain.encode(t, add_special_tokens=False).ids for t in ("over and over " * 500, "", "", "and OVER")]
+    assert Counted.n < 20
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    texts = ["one two one.", "two three é", "", "eleven one"]
+    right = [x.tolist() for x in WordTokenizer(tokenizer_path())(texts)]
+    plain = Tokenizer.from_file(tokenizer_path())
+    assert right == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class Colliding(tokens.Words):
+        def _hash(self, data):
+            return super()._hash(data) % np.uint64(2)
+
+    monkeypatch.setattr(tokens, "Words", Colliding)
+    assert [x.tolist() for x in WordTokenizer(tokenizer_path())(texts)] == right
+
+
 def test_packed_documents_come_back(spark, sf, odd):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd.select((odd.doc_id + 10**6).alias("doc_id"), "text"))
     rows = pack(docs).collect()
