@@ -6,12 +6,17 @@ ties keep the first row, an empty sum is 0, a comparison with a missing value is
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Pairs of null keys that a task of a join makes, and tasks that make them; with more pairs than that, tasks have more.
+PAIRS = 1 << 24
+TASKS = 10_000
+
 
 def order(*columns: str, descending: bool = False) -> list[Column]:
     """Nulls last either way."""
@@ -87,10 +92,43 @@ def pivot_mean(df: DataFrame, row: str, column: str, value: str, values: list) -
 
 
 def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "inner") -> DataFrame:
-    """Equi-join in which null keys match each other."""
+    """Equi-join in which null keys match each other.
+
+    Every null key meets every other, so pairs grow with the square of the input: where one task can't have them all, they are made apart.
+    """
     if how == "cross":
         return left.crossJoin(right)
-    return left.join(right, left[left_on].eqNullSafe(right[right_on]), how)
+    a, b = left[left_on], right[right_on]
+    whole = left.join(right, a.eqNullSafe(b), how)
+    if "semi" in how or "anti" in how:
+        return whole
+    m = right.where(b.isNull()).count()
+    n = left.where(a.isNull()).count() if m else 0
+    if n * m <= PAIRS:
+        return whole
+    # with null keys on both sides, none of them stays alone, whatever the kind of join
+    known = left.where(a.isNotNull()).join(right.where(b.isNotNull()), a == b, how)
+    return known.union(_product(left.where(a.isNull()), right.where(b.isNull()), n, m))
+
+
+def _product(left: DataFrame, right: DataFrame, n: int, m: int) -> DataFrame:
+    """All pairs of ``n`` and ``m`` rows: blocks of each side meet in tasks of about ``PAIRS``, and only the smaller side's block is held."""
+    pairs = max(PAIRS, n * m // TASKS)
+    held = min(n, m, math.isqrt(pairs))
+    across = -(-n // (held if n <= m else pairs // held))
+    down = -(-m // (pairs // held if n <= m else held))
+
+    def dealt(rows: DataFrame, blocks: int, cells) -> DataFrame:
+        """Rows by number in one of the blocks, once for each cell of it; equal rows are numbered, so a task that runs again deals alike."""
+        rows = rows.toDF(*[f"_{i}" for i in range(len(rows.columns))])
+        numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*rows.columns).orderBy(F.lit(0))))
+        block = F.pmod(F.xxhash64(*numbered.columns), F.lit(blocks)).cast("int")
+        return numbered.select(*rows.columns, F.explode(cells(block)).alias("_cell")).repartitionById(across * down, F.col("_cell"))
+
+    a = dealt(left, across, lambda i: F.sequence(i * down, i * down + down - 1))
+    b = dealt(right, down, lambda j: F.sequence(j, j + (across - 1) * down, F.lit(down)))
+    a, b = (a.hint("shuffle_hash"), b) if n <= m else (a, b.hint("shuffle_hash"))
+    return a.join(b, "_cell").drop("_cell")
 
 
 def concat(*frames: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Queries on tables whose keys or groups are larger than those of the test data."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import tabular
 from quillspark.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -22,3 +24,25 @@ def test_masked_documents_keep_long_page_numbers(spark, tmp_path):
     part = spark.createDataFrame([(k,) for k in (-1234567, 0, 7, 999, 1000, 99_999, 100_000, 1_199_999, 123_456_789_012)], "p_partkey bigint")
     got, want = compared(spark, tmp_path, "m4_masked_documents", part=part)
     assert got == want and "page 1199999 of ••••••2345" in "".join(got)
+
+
+def test_pairs_of_null_keys_are_made_in_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tabular, "PAIRS", 50_000, raising=False)
+    customer, supplier = spark.range(3_000).select(F.col("id").alias("c_custkey")), spark.range(4_900).select(F.col("id").alias("s_suppkey"))
+    got, want = compared(spark, tmp_path, "j1_merge_nullsafe", customer=customer, supplier=supplier)
+    assert got == want and len(got) == 600 * 700 + 2_057
+    out = QUERIES["j1_merge_nullsafe"](spark, str(tmp_path))
+    assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 2 * 50_000
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer", "left_semi", "left_anti"])
+@pytest.mark.parametrize("sizes", [(300, 40), (30, 400), (300, 0), (1, 9_000)])
+def test_merge_of_null_keys_in_every_kind(spark, monkeypatch, how, sizes):
+    """Equal rows, too, and few on one side: as the plain join on keys that are equal or both null."""
+    monkeypatch.setattr(tabular, "PAIRS", 4_000, raising=False)
+    key = lambda n, first: F.when(F.col("id") >= n, F.col("id") - n + first)
+    left = spark.range(sizes[0] + 9).select((F.col("id") % 7).alias("v"), key(sizes[0], 1).alias("k"))
+    right = spark.range(sizes[1] + 9).select(key(sizes[1], 5).alias("j"), (F.col("id") % 5).cast("string").alias("v"))
+    got, want = tabular.merge(left, right, "k", "j", how), left.join(right, left["k"].eqNullSafe(right["j"]), how)
+    assert got.dtypes == want.dtypes
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r)) for r in want.collect())
