@@ -225,7 +225,7 @@ def resolve_fields(specs: DataFrame, reads: DataFrame, context: DataFrame, as_of
 def _conflict(fields: DataFrame, found: DataFrame, cap: float = 0.6) -> DataFrame:
     """Cap what a check found (document_id, field, reason) and send it to review."""
     grouped = found.groupBy("document_id", "field").agg(F.sort_array(F.collect_list("reason")).alias("_why"))
-    both = fields.join(grouped, ["document_id", "field"], "left")
+    both = fields.join(grouped.hint("merge"), ["document_id", "field"], "left")
     hit = F.col("_why").isNotNull()
     return both.withColumns({"confidence": F.when(hit, F.least("confidence", F.lit(cap))).otherwise(F.col("confidence")), "review_required": F.col("review_required") | hit, "review_reasons": F.when(hit, F.concat("review_reasons", "_why")).otherwise(F.col("review_reasons"))}).drop("_why")
 
@@ -234,10 +234,13 @@ def cross_field_checks(fields: DataFrame, types: DataFrame, as_of: Column) -> Da
     """``fields`` after the checks within each document: passport and MRZ, dates in order, figures and words, no future dates.
 
     ``types``: document_id, document_type.  Absent values are in no conflict.
+    Fields are often unpivoted from wide rows, which Spark takes for less than they are; so nothing of them is broadcast, and
+    they are shuffled before they are sorted by document.
     """
     value = F.col("normalized_value")
     one = lambda name, c=value: F.max(F.when(F.col("field") == name, c)).alias(name)
-    wide = fields.join(types, "document_id").groupBy("document_id", "document_type").agg(*[one(n) for n in ("passport_number", "date_of_birth", "date_of_expiry", "mrz_line_2", "date_of_issue", "valid_till", "amount_in_figures")], one("amount_in_words", F.col("raw_value")))
+    wide = fields.repartition("document_id").groupBy("document_id").agg(*[one(n) for n in ("passport_number", "date_of_birth", "date_of_expiry", "mrz_line_2", "date_of_issue", "valid_till", "amount_in_figures")], one("amount_in_words", F.col("raw_value")))
+    wide = wide.hint("merge").join(types.repartition("document_id").distinct(), "document_id")
     mrz, kind = F.when(F.length("mrz_line_2") == 44, F.col("mrz_line_2")), F.col("document_type")
     says = {"passport_number": F.regexp_replace(mrz_part(mrz, "document_number"), "<", ""), "date_of_birth": mrz_date(mrz_part(mrz, "birth_date"), True, as_of), "date_of_expiry": mrz_date(mrz_part(mrz, "expiry_date"), False, as_of)}
     today = F.date_format(as_of, "yyyy-MM-dd")
@@ -250,7 +253,7 @@ def cross_field_checks(fields: DataFrame, types: DataFrame, as_of: Column) -> Da
         (kind == "nach_ecs_mandate", "amount_in_figures", words.cast("string") != F.substring_index("amount_in_figures", ".", 1), F.concat(F.lit("amount in figures differs from amount in words ("), words.cast("string"), F.lit(")"))),
     ]
     found = wide.select("document_id", F.explode(F.filter(F.array(*[F.when(F.coalesce(k & c, F.lit(False)), F.struct(F.lit(n).alias("field"), r.alias("reason"))) for k, n, c, r in checks]), lambda x: x.isNotNull())).alias("x")).select("document_id", "x.*")
-    late = fields.join(types, "document_id").where(F.col("field").startswith("date") & ~kind.isin("passport", "driving_licence") & (value > today)).select("document_id", "field", F.lit("date is in the future").alias("reason"))
+    late = fields.hint("merge").join(types, "document_id").where(F.col("field").startswith("date") & ~kind.isin("passport", "driving_licence") & (value > today)).select("document_id", "field", F.lit("date is in the future").alias("reason"))
     return _conflict(fields, found.unionByName(late))
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import tabular
+from quillspark.operators import documents, tabular
 from quillspark.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -46,3 +46,18 @@ def test_merge_of_null_keys_in_every_kind(spark, monkeypatch, how, sizes):
     got, want = tabular.merge(left, right, "k", "j", how), left.join(right, left["k"].eqNullSafe(right["j"]), how)
     assert got.dtypes == want.dtypes
     assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r)) for r in want.collect())
+
+
+@pytest.mark.parametrize("name", ["j4_mrz_against_visual", "j5_figures_against_words", "p34_date_order"])
+def test_fields_are_not_broadcast_for_checks(spark, sf, name):
+    """However small Spark takes them for: a broadcast is held by every executor."""
+    assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_checks_with_types_that_repeat_or_lack(spark):
+    shape = "document_id string, field string, raw_value string, normalized_value string, confidence double, review_required boolean, review_reasons array<string>"
+    rows = [(d, f, v, v, 0.9, False, []) for d in ("a", "b", None) for f, v in (("date_of_issue", "2020-01-01"), ("valid_till", "2019-01-01"), ("date", "2030-01-01"))]
+    types = spark.createDataFrame([("a", "driving_licence"), ("a", "driving_licence"), ("c", "passport"), (None, "driving_licence")], "document_id string, document_type string")
+    out = documents.cross_field_checks(spark.createDataFrame(rows, shape), types, F.lit("2025-06-30").cast("date")).collect()
+    assert len(out) == 9
+    assert [(r.document_id, r.field, r.confidence, r.review_reasons) for r in out if r.review_required] == [("a", "valid_till", 0.6, ["valid-till date is not after the issue date"])]
