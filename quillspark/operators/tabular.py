@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Pairs of null keys that a task of a join makes, and tasks that make them; with more pairs than that, tasks have more.
 PAIRS = 1 << 24
 TASKS = 10_000
+# Rows that a task writes for them, each once for every block of the other side.
+COPIES = 1 << 20
 
 
 def order(*columns: str, descending: bool = False) -> list[Column]:
@@ -118,15 +120,15 @@ def _product(left: DataFrame, right: DataFrame, n: int, m: int) -> DataFrame:
     across = -(-n // (held if n <= m else pairs // held))
     down = -(-m // (pairs // held if n <= m else held))
 
-    def dealt(rows: DataFrame, blocks: int, cells) -> DataFrame:
-        """Rows by number in one of the blocks, once for each cell of it; equal rows are numbered, so a task that runs again deals alike."""
+    def dealt(rows: DataFrame, copies: int, blocks: int, cells) -> DataFrame:
+        """Rows by hash in one of the blocks, once for each cell of it; equal rows are numbered, so a task that runs again deals alike."""
         rows = rows.toDF(*[f"_{i}" for i in range(len(rows.columns))])
-        numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*rows.columns).orderBy(F.lit(0))))
+        numbered = rows.repartition(-(-copies // COPIES), *rows.columns).withColumn("_n", F.row_number().over(Window.partitionBy(*rows.columns).orderBy(F.lit(0))))
         block = F.pmod(F.xxhash64(*numbered.columns), F.lit(blocks)).cast("int")
         return numbered.select(*rows.columns, F.explode(cells(block)).alias("_cell")).repartitionById(across * down, F.col("_cell"))
 
-    a = dealt(left, across, lambda i: F.sequence(i * down, i * down + down - 1))
-    b = dealt(right, down, lambda j: F.sequence(j, j + (across - 1) * down, F.lit(down)))
+    a = dealt(left, n * down, across, lambda i: F.sequence(i * down, i * down + down - 1))
+    b = dealt(right, m * across, down, lambda j: F.sequence(j, j + (across - 1) * down, F.lit(down)))
     a, b = (a.hint("shuffle_hash"), b) if n <= m else (a, b.hint("shuffle_hash"))
     return a.join(b, "_cell").drop("_cell")
 
